@@ -164,8 +164,8 @@ def snippet(text: Column, n: int = 70) -> Column:
 
 def human_bytes(n: Column) -> Column:
     x = n.cast("double")
-    one = lambda d: F.format_string("%.1f", x / d)
-    return (F.when(x < 1024, F.concat(F.format_string("%.0f", x), F.lit(" B"))).when(x < 1024**2, F.concat(one(1024.0), F.lit(" KB")))
+    one = lambda d: F.format_string("%.1f", F.bround(x / d, 1))
+    return (F.when(x.isNull(), F.lit(None)).when(x < 1024, F.concat(F.format_string("%.0f", x), F.lit(" B"))).when(x < 1024**2, F.concat(one(1024.0), F.lit(" KB")))
             .when(x < 1024**3, F.concat(one(1024.0**2), F.lit(" MB"))).otherwise(F.concat(one(1024.0**3), F.lit(" GB"))))
 
 
