@@ -79,7 +79,7 @@ def bisect_cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[i
 
 def _chars_within(limit: int) -> int:
     n = int(limit * CHARS_PER_TOKEN) + 2
-    while tokens_of(n) > limit:
+    while n > 0 and tokens_of(n) > limit:
         n -= 1
     return n
 
