@@ -15,30 +15,33 @@ MAX_DF_SHARE = 0.15
 REVIEW_DF_SHARE = 0.30
 
 
-def answer_spans(questions: DataFrame, key: str = "id", answer: str = "answer", least: int = MIN_SPAN_WORDS) -> DataFrame:
-    """``key, start, size, span``: every run of at least ``least`` words of the normalised answer."""
-    q = questions.where(F.col(answer).isNotNull()).select(key, F.split(T.norm_anchor(F.col(answer)), " ").alias("w")).where(F.size("w") >= least)
-    s = q.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("start"))
-    s = s.select(key, "w", "start", F.explode(F.sequence(F.lit(least), F.size("w") - F.col("start"))).alias("size"))
-    return s.select(key, "start", "size", F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ").alias("span"))
-
+def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", doc: str = "chunk_pos", text: str = "text", least: int = MIN_SPAN_WORDS, max_hits: int = MAX_HITS) -> DataFrame:
+    """``key, span, chunks``: the longest, then leftmost, run of at least ``least`` (4 or more) of the answer's words that stands
+    in at least one and at most ``max_hits`` chunks.
 
-def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", doc: str = "chunk_pos", text: str = "text", max_hits: int = MAX_HITS) -> DataFrame:
-    """``key, span, chunks``: the longest, then leftmost, run of the answer's words that stands in at least one and at most
-    ``max_hits`` chunks.
-
-    The match is of substrings, so a run's edge words may be parts of longer ones.  Pairs are found by the
-    run's second and third word, which are whole in any chunk that holds the run, and then checked.
+    The match is of substrings of normalised texts, so a run's edge words may be parts of longer ones, but its inner words are
+    whole wherever it stands.  A run is looked for only in chunks that have its rarest inner pair of words between the same
+    two letters; runs with an inner pair that no chunk has are dropped at once.  Null answers and texts match nothing.
     """
-    spans = answer_spans(questions, key, answer)
-    inner = F.concat_ws(" ", F.slice(F.split("span", " "), 2, 2))
-    spans = spans.withColumn("__k", inner)
+    if least < 4:
+        raise ValueError("runs need two inner words")
+    near = lambda w, i: F.concat_ws(" ", F.right(F.get(w, i - 1), F.lit(1)), F.get(w, i), F.get(w, i + 1), F.left(F.get(w, i + 2), F.lit(1)))
+    pairs_of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: near(w, i))
+    q = questions.where(F.col(answer).isNotNull()).select(key, F.split(T.norm_anchor(F.col(answer)), " ").alias("w")).where(F.size("w") >= least)
     texts = chunks.where(F.col(text).isNotNull()).select(doc, T.norm_anchor(F.col(text)).alias("__t"))
-    toks = F.split("__t", " ")
-    pairs = texts.withColumn("__w", toks).where(F.size("__w") > 1).select(doc, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.get(F.col("__w"), i - 1), F.get(F.col("__w"), i))))).alias("__k"))
-    cand = spans.select("__k").distinct().join(pairs, "__k").join(texts, doc)
-    hits = spans.join(cand, "__k").where(F.col("__t").contains(F.col("span"))).select(key, "start", "size", "span", doc).distinct()
-    per = hits.groupBy(key, "start", "size", "span").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(doc)).alias("chunks")).where(F.col("n") <= max_hits)
+    pairs = texts.withColumn("__w", F.split("__t", " ")).where(F.size("__w") > 3).select(doc, F.explode(F.array_distinct(pairs_of(F.col("__w")))).alias("k"))
+    df = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    counted = q.select(key, F.posexplode(pairs_of(F.col("w"))).alias("i", "k")).join(df, "k", "left")
+    known = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("df", F.lit(0)).alias("df"), "k"))).alias("p"))
+    runs = q.join(known, key).select(key, "w", "p", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("start"))
+    runs = runs.select(key, "w", "p", "start", F.explode(F.sequence(F.lit(least), F.size("w") - F.col("start"))).alias("size"))
+    rarest = F.array_min(F.transform(F.slice("p", F.col("start") + 1, F.col("size") - 3), lambda x: F.struct(x["df"].alias("df"), x["k"].alias("k"))))
+    spans = runs.withColumn("r", rarest).where("r.df > 0").select(key, "start", "size", F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ").alias("span"), F.col("r.k").alias("k"))
+    # answers share many runs: each is looked for once
+    hits = spans.select("span", "k").distinct().join(pairs, "k").join(texts, doc).where(F.col("__t").contains(F.col("span")))
+    few = hits.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_hits).select("span")
+    found = hits.join(few, "span", "left_semi").groupBy("span").agg(F.array_sort(F.collect_set(doc)).alias("chunks"))
+    per = spans.join(found, "span")
     best = F.min_by(F.struct("span", "chunks"), F.struct(-F.col("size"), F.col("start")))
     return per.groupBy(key).agg(best.alias("b")).select(key, "b.span", "b.chunks")
 
