@@ -57,6 +57,10 @@ REFUSALS = [
     r"ไม่(?:สามารถ|ทราบ|รู้|พบ|มี)(?:ตอบ|ข้อมูล|คำตอบ)?|ขออภัย", r"አላውቅም|መመለስ አልችልም|መልስ የለም|መረጃ (?:የለም|አልተገኘም)|ይቅርታ",
 ]
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
+#: One of these words, or a word that begins so, is in every refusal in Latin script; the patterns are only tried then.
+REFUSAL_WORDS = frozenset("no not nothing none cannot t unable decline ai model assistant insufficient ne n aucun aucune impossible ninguna não nenhuma nicht nichts kein keine".split())
+REFUSAL_STARTS = ("not_", "si", "hatuwezi", "hai", "hazi", "haziwezi", "hakuna", "samahani")
+FOREIGN = re.compile(r"[\u0250-\u02ff\u0370-\u1dff\u2c00-\ud7ff\uf900-\uffff\U00010000-\U0010ffff]")
 
 #: Frequent words that tell the languages in Latin script apart.
 STOPWORDS = {
@@ -68,6 +72,7 @@ STOPWORDS = {
     "pt": "o os as do da dos das de e é uma um para por com em que não se ao à no na nos nas até depois antes acordo aceita fim mês sim deve pagar como mais qual quando onde quem quanto você salvo",
 }
 STOP = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+LANGUAGES_OF = {w: tuple(k for k, s in STOP.items() if w in s) for s_ in STOP.values() for w in s_}
 
 #: Words after which a sentence can't end.
 HANGING = frozenset(("the a an of to and or in on at by from with for that this these those which who whose where when until after before if as is are was were be been can must may will shall not no than into onto per between under over about against its their his her our your my each every any other "
@@ -88,10 +93,14 @@ FRAME = frozenset("q a question answer you asked asks ask the is was your my use
 
 def visible(text: str) -> str:
     """The text's letters, digits and symbols other than punctuation; blanks, controls and invisible characters go."""
+    if re.search(r"[^\W_]", text):
+        return text
     return "".join(c for c in text if unicodedata.category(c)[0] not in "PZC" and c != "⠀")
 
 
 def plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("‘", "'")
 
 
@@ -107,7 +116,12 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    return bool(REFUSAL.search(re.sub(r"\s+", " ", plain(answer))))
+    t = " ".join(plain(answer).split())
+    if not FOREIGN.search(t):
+        ws = re.findall(r"\w+", t)
+        if REFUSAL_WORDS.isdisjoint(ws) and not any(w.startswith(REFUSAL_STARTS) for w in ws):
+            return False
+    return bool(REFUSAL.search(t))
 
 
 def copies_question(question: str | None, answer: str) -> bool:
@@ -126,6 +140,8 @@ def copies_question(question: str | None, answer: str) -> bool:
 
 
 def script_of(text: str) -> str:
+    if not FOREIGN.search(text):
+        return "latin" if re.search(r"[^\W\d_]", text) else ""
     counts: dict[str, int] = {}
     for c in text:
         if c.isalpha():
@@ -147,9 +163,11 @@ def script_of(text: str) -> str:
 def language_scores(text: str) -> dict[str, int]:
     """Stop words of each language, leaving out quoted titles and words in capitals with underscores."""
     bare = re.sub(r"\b[A-Z0-9]+(?:_[A-Z0-9]+)+\b", " ", QUOTED.sub(" ", text))
-    ws = [w for w in WORD.findall(plain(bare))]
-    ws = [p for w in ws for p in w.split("'")]
-    return {k: sum(w in s for w in ws) for k, s in STOP.items()}
+    out = dict.fromkeys(STOP, 0)
+    for w in re.findall(r"[^\W\d_]+", plain(bare)):
+        for k in LANGUAGES_OF.get(w, ()):
+            out[k] += 1
+    return out
 
 
 def other_language(question: str | None, answer: str, gold: str | None) -> bool:
@@ -186,6 +204,8 @@ def unclosed(text: str) -> bool:
 
 def mask(word: str) -> str:
     """Numbers, codes and capitalised names in one shape each, so that counts carry over."""
+    if word.isalpha():
+        return word.lower()
     if any(c.isdigit() for c in word):
         return "#" if not any(c.isalpha() for c in word) else "a#"
     return word.lower()
