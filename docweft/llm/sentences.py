@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ UNSPACED = "。！？｡।॥።፧؟…"
 CANDIDATE = re.compile(rf"[{MARKS}]+(?:[\"'”’»›)\]}}」』）】》〉“]|[   ](?=»))*|(?<=[฀-๿0-9A-Za-z%])\s+(?=[฀-๿])|(?<=[฀-๿])\s+(?=[0-9A-Za-z])")
 BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*\r\n\s*| ")
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "【": "】", "„": "“", "‹": "›"}
+ENCLOSING = re.compile("[\"" + re.escape("".join([*PAIRS, *PAIRS.values()])) + "]")
 ITEM = re.compile(r"\s*(?:[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)\]]+|[-–—•*·▪])\s*$")
 NEXT_ITEM = re.compile(r"[-–—•*·▪]\s|[(\[]?\d{1,3}[.)\]]\s")
 OPENERS = "\"'“‘«‹(（[「『【《„¿¡-–—•* "
@@ -65,8 +67,8 @@ def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Spans (opening mark, closing mark) of the outermost closed quotations and brackets in ``text[a:b]``."""
     spans, stack = [], []
     straight = -1
-    for i in range(a, b):
-        c = text[i]
+    for m in ENCLOSING.finditer(text, a, b):
+        i, c = m.start(), m.group()
         if c == '"':
             if straight < 0:
                 straight = i
@@ -89,6 +91,7 @@ def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return outer
 
 
+@lru_cache(maxsize=1 << 16)
 def _class(c: str) -> str:
     o = ord(c)
     if c.isdigit():
@@ -101,6 +104,7 @@ def _class(c: str) -> str:
     return "o" if c.isalpha() else "_" if c.isspace() else "."
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(token: str) -> str:
     out = ""
     for c in token[:8]:
@@ -110,6 +114,7 @@ def _shape(token: str) -> str:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def _normal(token: str) -> str:
     return re.sub(r"\d+", "0", token.lower())
 
@@ -117,11 +122,11 @@ def _normal(token: str) -> str:
 DENSE = "HKT"
 
 
-def features(text: str, a: int, start: int, end: int, right: int, b: int, newline: bool, right_text: str | None = None) -> list[int]:
-    """Feature numbers of the candidate whose mark begins at ``start`` and whose closing marks end at ``end``.
+def contexts(text: str, a: int, start: int, end: int, right: int, b: int, right_text: str | None = None) -> tuple[tuple, ...]:
+    """What the features of a candidate depend on, in six groups that recur and whose features can therefore be kept.
 
-    ``a`` and ``b`` bound the paragraph, ``right`` is where the next token begins.  ``right_text`` stands in
-    for what follows, for a paragraph's end.
+    The candidate's mark begins at ``start`` and its closing marks end at ``end``; ``a`` and ``b`` bound the paragraph,
+    ``right`` is where the next token begins.  ``right_text`` stands in for what follows, for a paragraph's end.
     """
     left = text[max(a, start - 40) : start]
     mark = text[start:end] if not text[start].isspace() else " "
@@ -130,7 +135,7 @@ def features(text: str, a: int, start: int, end: int, right: int, b: int, newlin
     lt = left.split()
     l1 = (lt[-1] if lt and not left[-1:].isspace() else "").lstrip(OPENERS)
     l2 = _normal(lt[-2]) if len(lt) > 1 else "^"
-    ft = bare.split()
+    ft = bare.split(None, 2)
     r1 = ft[0].rstrip(",;:") if ft else ""
     r2 = _normal(ft[1]) if len(ft) > 1 else ""
     kl, kr = _class(l1[-1:] or " "), _class(bare[:1] or " ")
@@ -138,18 +143,42 @@ def features(text: str, a: int, start: int, end: int, right: int, b: int, newlin
         l1, l2 = left.strip()[-3:], left.strip()[-6:]
     if kr in DENSE:
         r1, r2 = bare[:2], bare[:4]
-    n1, m1 = _normal(l1), _normal(r1)
-    sl, sr = _shape(l1), _shape(r1)
+    n1, m1, sl = _normal(l1), _normal(r1), _shape(l1)
     camel = len(r1) > 1 and r1[0].islower() and r1[1].isupper()
     case = "camel" if camel else kr + ("s" if len(r1) == 1 else "")
     size = min(len(l1), 6)
     opener = follow[:1] if follow[:1] in OPENERS else ""
     closing = mark.strip(MARKS + " ")
-    what = mark.rstrip("\"'”’»›)]}」』）】》〉“   ")[:3]
-    inner = "." in l1
-    f = [f"m{what}", f"m{what}|{closing}|{case}", f"c{closing}|{case}", f"l{n1}", f"l{n1}|{case}", f"ll{l2} {n1}", f"L{sl}|{size}", f"L{sl}|{size}|{case}", f"i{inner}|{size}|{case}",
-         f"r{m1}", f"rr{m1} {r2}", f"R{sr}", f"R{sr}|{opener}", f"x{what}|{case}|{sl[-1:]}", f"o{opener}|{case}", f"s{kl}{kr}", f"k{closing}|{m1}", f"d{kl}|{what}|{m1}", f"t{n1[-3:]}", f"p{l2}|{case}|{size}"]
-    return [zlib.crc32(x.encode()) & (DIMENSIONS - 1) for x in f]
+    what = mark.rstrip("\"'”’»›)]}」』）】》〉“   ")[:3]
+    return (("L", n1, l2, sl, size), ("R", m1, r2, _shape(r1), opener), ("X", what, closing, case, sl, size, "." in l1, opener, kl, kr), ("C", n1, case), ("K", closing, m1, kl, what), ("P", l2, case, size))
+
+
+@lru_cache(maxsize=1 << 16)
+def numbers(group: tuple) -> tuple[int, ...]:
+    """Feature numbers of one group."""
+    kind, *x = group
+    if kind == "L":
+        n1, l2, sl, size = x
+        f = [f"l{n1}", f"ll{l2} {n1}", f"L{sl}|{size}", f"t{n1[-3:]}"]
+    elif kind == "R":
+        m1, r2, sr, opener = x
+        f = [f"r{m1}", f"rr{m1} {r2}", f"R{sr}", f"R{sr}|{opener}"]
+    elif kind == "X":
+        what, closing, case, sl, size, inner, opener, kl, kr = x
+        f = [f"m{what}", f"m{what}|{closing}|{case}", f"c{closing}|{case}", f"L{sl}|{size}|{case}", f"i{inner}|{size}|{case}", f"x{what}|{case}|{sl[-1:]}", f"o{opener}|{case}", f"s{kl}{kr}"]
+    elif kind == "C":
+        f = [f"l{x[0]}|{x[1]}"]
+    elif kind == "K":
+        closing, m1, kl, what = x
+        f = [f"k{closing}|{m1}", f"d{kl}|{what}|{m1}"]
+    else:
+        f = [f"p{x[0]}|{x[1]}|{x[2]}"]
+    return tuple(zlib.crc32(i.encode()) & (DIMENSIONS - 1) for i in f)
+
+
+def features(*at, **kw) -> list[int]:
+    """Feature numbers of a candidate, see ``contexts``."""
+    return [i for g in contexts(*at, **kw) for i in numbers(g)]
 
 
 N_FEATURES = 20
@@ -200,7 +229,7 @@ def training_examples(text: str) -> list[tuple[int, list[int]]]:
         for start, end, right, newline, item in candidates(text, a, b):
             line = text[max(a, text.rfind("\n", a, start) + 1) : end]
             if not item and not ITEM.fullmatch(line):
-                out.append((0, features(text, a, start, end, right, b, newline)))
+                out.append((0, features(text, a, start, end, right, b)))
         if k + 1 < len(spans):
             c, d = spans[k + 1]
             tail = re.search(rf"[{MARKS}]+[\"'”’»›)\]}}」』）】》〉“   ]*$", text[max(a, b - 12) : b])
@@ -208,9 +237,9 @@ def training_examples(text: str) -> list[tuple[int, list[int]]]:
             after = text[c : min(d, c + 40)]
             thai = tail is None and _class(text[b - 1]) == "T" and _class(after[:1]) == "T"
             if tail is not None and re.search(rf"[{MARKS}][\"'”’»›)\]}}」』）】》〉“]*$", text[c:d]):
-                out.append((1, features(text, a, start, b, c, d, False, after)))
+                out.append((1, features(text, a, start, b, c, d, right_text=after)))
             elif thai and d - c > 18 and b - a > 18:
-                out.append((1, features(text + " ", a, b, b, c, d, False, after)))
+                out.append((1, features(text + " ", a, b, b, c, d, right_text=after)))
     return out
 
 
@@ -245,22 +274,31 @@ class BoundaryModel:
     weights: np.ndarray
     bias: float
     least: float
-
-    def score(self, f: list[int]) -> float:
-        w = self.weights
-        return self.bias + float(sum(w[i] for i in f))
+    kept: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def score(self, groups: tuple[tuple, ...]) -> float:
+        kept, total = self.kept, self.bias
+        for g in groups:
+            v = kept.get(g)
+            if v is None:
+                if len(kept) > 1 << 18:
+                    kept.clear()
+                v = kept[g] = float(sum(self.weights[i] for i in numbers(g)))
+            total += v
+        return total
 
     def ends(self, text: str) -> list[int]:
         """End positions of the text's sentence units, ascending."""
         out = []
-        weights, bias, least = self.weights, self.bias, self.least
         for a, b in paragraphs(text):
             since = a
             for start, end, right, newline, item in candidates(text, a, b):
                 if ITEM.fullmatch(text[since:end]):
                     continue
-                f = features(text, a, start, end, right, b, newline)
-                if item or bias + weights[f].sum() > least:
+                if item or self.score(contexts(text, a, start, end, right, b)) > self.least:
                     out.append(end)
                     since = right
             out.append(b)
