@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweft.functions.vectors import dot, norm
+from docweft.session import ships
 
 # Instruction prefixes that models were trained with, query then passage.
 PREFIXES = {
@@ -105,11 +106,10 @@ def encode(df: DataFrame, encoder: Encoder, key: str, text: str, is_query: bool
 
 def ranking(queries: DataFrame, vectors: DataFrame, depth: int, query: str = "query_id", doc: str = "chunk_pos", qvec: str = "qvec", vec: str = "vec",
             exclude: str | None = None, rank: str = "dense_place") -> DataFrame:
-    """The ``depth`` vectors nearest to each query by cosine at six places, ties by id.
+    """The ``depth`` vectors nearest to each query by cosine at six places, ties by id; one expression per pair.
 
-    A stated query set against all rows: queries go out in blocks of ``QUERY_BLOCK`` by hash, and every block
-    is multiplied with all vectors.  ``exclude`` names a query column with an id that is no
-    candidate of that query.
+    For small query sets inside a larger plan; ``block_ranking`` does the same by matrix products and is
+    what search uses.  ``exclude`` names a query column with an id that is no candidate of that query.
     """
     pairs = vectors.select(doc, vec).join(queries.select(query, qvec, *([exclude] if exclude else [])), how="cross")
     if exclude:
@@ -166,3 +166,6 @@ def unit_norm_gate(vectors: DataFrame, vec: str = "vec", tolerance: float = 1e-5
     """One row: vectors, those off unit length by more than ``tolerance``, and whether the gate passes."""
     off = F.abs(norm(F.col(vec)) - 1) > F.lit(tolerance)
     return vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.coalesce(F.sum(off.cast("long")), F.lit(0)).alias("n_off")).withColumn("passed", F.col("n_off") == 0)
+
+
+ships(__name__)

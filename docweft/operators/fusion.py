@@ -45,7 +45,7 @@ def hybrid_search(queries: DataFrame, index: lexical.LexicalIndex, vectors: Data
     rows that are left.
     """
     words = lexical.top(lexical.scores(index, lexical.query_terms(queries, query, question), doc, query), depth, query, doc)
-    near = dense.ranking(queries, vectors, depth, query, doc, exclude=exclude)
+    near = dense.block_ranking(queries, vectors, depth, query, doc, exclude=exclude)
     if exclude:
         words = words.join(queries.select(query, exclude), query).where(F.col(exclude).isNull() | (F.col(exclude) != F.col(doc))).drop(exclude)
         words = words.withColumn("bm25_rank", F.row_number().over(W.partitionBy(query).orderBy("bm25_rank")))

@@ -315,6 +315,10 @@ u AS (SELECT query_id, tok, max(a) AS a, max(b) AS b FROM (SELECT *, 1 AS a, 0 A
 SELECT query_id, count(*) AS n_union, count(*) FILTER (a = 1 AND b = 1) AS n_both, count(*) FILTER (a = 1 AND b = 0) AS n_only_question FROM u JOIN ids USING (query_id) GROUP BY 1""",
     "index_append_idempotent": f"WITH {_XC} SELECT chunk_id, sha256 AS doc_sha256, filename, ch.page AS page, ch.char_start AS char_start, ch.char_end AS char_end FROM xc",
     "index_stats": f"WITH {_XC} SELECT count(DISTINCT sha256) AS n_documents, count(*) AS n_chunks FROM xc",
+    "outside_boxes": """WITH p AS (SELECT l_orderkey, l_linenumber AS page, l_quantity AS cx, l_discount * 100 AS cy FROM lineitem), b AS (SELECT r_regionkey + 1 AS page, (r_regionkey + 1) * 8.0 AS x0, (r_regionkey + 1) * 8.0 + 10 AS x1 FROM region)
+SELECT page, count(*) AS n_outside, sum(l_orderkey) AS key_sum FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = p.page AND cx BETWEEN x0 AND x1 AND cy BETWEEN 1.5 AND 6.5) GROUP BY 1""",
+    "search_persisted_lexical": f"""WITH {_XC}, {_Q}, xt AS (SELECT chunk_id AS chunk_pos, ch.text AS text, filename, ch.page AS page FROM xc), {_bm25('xt')}
+SELECT query_id, chunk_pos AS chunk_id, bm25_rank, round(1.0 / (60 + bm25_rank), 9) AS rrf_score, CASE WHEN bm25_rank <= 5 THEN 'hit' ELSE 'considered' END AS slot, filename, page FROM br JOIN xt USING (chunk_pos) WHERE bm25_rank <= 10""",
     "stream_ingest_dedup": "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

@@ -480,6 +480,14 @@ def real_table_filter(spark, d):
     return _nation_tables(spark, d).select("r_name", tables.is_real_table(F.col("rows")).alias("is_real"), tables.is_real_table(F.slice(F.col("rows"), 1, 1)).alias("header_is_real"))
 
 
+@query
+def outside_boxes(spark, d):
+    """Points outside the boxes of their page, over line items as points."""
+    pts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("cx"), (F.col("l_discount") * 100).alias("cy"))
+    box = table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("page"), ((F.col("r_regionkey") + 1) * 8.0).alias("x0"), ((F.col("r_regionkey") + 1) * 8.0 + 10).alias("x1"), F.lit(1.5).alias("top"), F.lit(6.5).alias("bottom"))
+    return tables.outside_boxes(pts, box).groupBy("page").agg(F.count(F.lit(1)).alias("n_outside"), F.sum("l_orderkey").alias("key_sum"))
+
+
 # --- gates
 
 
@@ -752,6 +760,14 @@ def search_persisted(spark, d):
     return index.search(q, 5, dense.HashingEncoder()).select("query_id", "chunk_id", "bm25_rank", "dense_place", F.round("rrf_score", 9).alias("rrf_score"), "place", "slot")
 
 
+@query
+def search_persisted_lexical(spark, d):
+    index = ChunkIndex.open(spark, _scratch(spark))
+    index.append(table(spark, d, "extracted_docs"))
+    r = index.search(questions(spark, d).select("query_id", "question"), 5)
+    return r.select("query_id", "chunk_id", "bm25_rank", F.round("rrf_score", 9).alias("rrf_score"), "slot", "filename", "page")
+
+
 @query
 def stream_ingest_dedup(spark, d):
     """Documents as a stream, each content once."""

@@ -227,3 +227,11 @@ def test_models(spark):
 
 def test_encoder_prefixes():
     assert dense.prefix_for("intfloat/e5-small-v2") == ("query: ", "passage: ") and dense.prefix_for("other") == ("", "")
+
+
+def test_reports(spark, tmp_path):
+    from docweft.sources.reports import write_report
+
+    p = str(tmp_path / "r.md")
+    write_report(p, "Run", {"Counts": spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string"), "Note": "text"})
+    assert open(p).read() == "# Run\n\n## Counts\n\n| n | s |\n|---|---|\n| 1 | a/b |\n| 2 |  |\n\n## Note\n\ntext\n"
