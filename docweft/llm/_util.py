@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ships(name: str) -> None:
-    """Send the functions of module ``name`` to executors by value, so that they need not have the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[name])
+from docweft.session import ships  # noqa: F401 - used by the modules beside this one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,9 +8,11 @@ given length, the state's item list names every item that holds the last so many
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +154,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
     docs = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("__d"), F.col(text).alias("__t"))
     for part in _shards(items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(item, text), item, text, automaton_words):
         automaton = Automaton(sorted((r[item], r[text]) for r in part.distinct().collect()), least)
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+        sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(automaton))
         found = docs.mapInArrow(_scanner(sent, doc, max_span, max_coverage), f"{doc} long, n_words int, matched_words int, leaks {LEAKS}, cleaned string, removed_words int")
         out = found if out is None else out.unionByName(found)
     return out
@@ -162,7 +164,7 @@ def _scanner(sent, out_doc: str, max_span: int, max_coverage: float):
     kind = pa.schema([("d", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("l", pa.list_(pa.struct([("item_id", pa.int64()), ("run", pa.int32())]))), ("c", pa.string()), ("r", pa.int32())])
 
     def run(batches):
-        a = sent.value
+        a = pickle.loads(sent.value)
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
