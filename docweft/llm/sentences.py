@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm._util import ships
+from docweft.session import Kept
 
 #: Most candidates the model is fitted on; a documented bound, since the fit runs on the driver.
 TRAINING_ROWS = 150_000
@@ -91,7 +91,7 @@ def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return outer
 
 
-@lru_cache(maxsize=1 << 16)
+@Kept
 def _class(c: str) -> str:
     o = ord(c)
     if c.isdigit():
@@ -104,7 +104,7 @@ def _class(c: str) -> str:
     return "o" if c.isalpha() else "_" if c.isspace() else "."
 
 
-@lru_cache(maxsize=1 << 16)
+@Kept
 def _shape(token: str) -> str:
     out = ""
     for c in token[:8]:
@@ -114,7 +114,7 @@ def _shape(token: str) -> str:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
+@Kept
 def _normal(token: str) -> str:
     return re.sub(r"\d+", "0", token.lower())
 
@@ -153,7 +153,7 @@ def contexts(text: str, a: int, start: int, end: int, right: int, b: int, right_
     return (("L", n1, l2, sl, size), ("R", m1, r2, _shape(r1), opener), ("X", what, closing, case, sl, size, "." in l1, opener, kl, kr), ("C", n1, case), ("K", closing, m1, kl, what), ("P", l2, case, size))
 
 
-@lru_cache(maxsize=1 << 16)
+@Kept
 def numbers(group: tuple) -> tuple[int, ...]:
     """Feature numbers of one group."""
     kind, *x = group

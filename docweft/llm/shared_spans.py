@@ -11,7 +11,6 @@ spans without forming pairs of records.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docweft.llm._util import one_row_per_record, ships
 from docweft.operators.skew import join_stats
+from docweft.session import Kept
 
 LENGTH = 200
 #: The longer the period, the fewer positions are hashed and the shorter the window that anchors a match.
@@ -29,7 +29,7 @@ PERIOD = 91
 PERFECT = {13: (0, 1, 3, 9), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 
 
-@lru_cache(maxsize=16)
+@Kept
 def difference_cover(period: int) -> tuple[int, ...]:
     """A small set of residues whose pairwise differences give every residue."""
     if period in PERFECT:
@@ -52,7 +52,7 @@ def _codes(text: str) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
+@Kept
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
