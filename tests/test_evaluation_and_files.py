@@ -54,15 +54,13 @@ CHUNKS = [(0, "the fee is 48,555 per week at the hub"), (1, "write to info@shop.
 def brute_verbatim(answer, chunks):
     import re
 
-    norm = lambda s: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9@.+]+", " ", s.lower())).strip()
+    def norm(x):
+        return " ".join(re.sub(r"[^a-z0-9@.+]", " ", x.lower()).split())
+
     w = norm(answer).split()
-    for size in range(len(w), 3, -1):
-        for s in range(len(w) - size + 1):
-            span = " ".join(w[s : s + size])
-            hits = [i for i, t in chunks if span in norm(t)]
-            if 0 < len(hits) <= 3:
-                return span, hits
-    return None
+    runs = sorted(((a, b) for a in range(len(w)) for b in range(a + 4, len(w) + 1)), key=lambda r: (r[0] - r[1], r[0]))
+    proofs = ((s, [i for i, t in chunks if s in norm(t)]) for s in (" ".join(w[a:b]) for a, b in runs))
+    return next(((s, hits) for s, hits in proofs if 1 <= len(hits) <= 3), None)
 
 
 def test_labels_by_proof(spark):

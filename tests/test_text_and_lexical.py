@@ -17,8 +17,8 @@ def one(spark, text, **cols):
 
 
 def test_tokens_keep_codes_and_figures(spark):
-    r = one(spark, "H1 revenue 1,505,398 up 51.5 FY24", a=T.tokens, b=lambda t: T.with_aliases(T.tokens(t)))
-    assert r.a == ["h1", "revenue", "1,505,398", "up", "51.5", "fy24"]
+    r = one(spark, "H1 income 2,417,090 up 33.5 FY24", a=T.tokens, b=lambda t: T.with_aliases(T.tokens(t)))
+    assert r.a == ["h1", "income", "2,417,090", "up", "33.5", "fy24"]
     assert r.b == [*r.a, "first", "half", "interim", "sixmonth"]
 
 
@@ -37,7 +37,7 @@ def test_norms_differ_in_what_they_keep(spark):
     assert r.w == "mail info shop ug two 2 days"
 
 
-@pytest.mark.parametrize("line,expected", [("2. Registration and account", True), ("Returns and Refunds", True), ("what now?", True), ("we sell lamps and bags", False), ("Ends with a stop.", False), ("", False), ("X " * 45, False)])
+@pytest.mark.parametrize("line,expected", [("3. Shipping and handling", True), ("Returns and Refunds", True), ("what now?", True), ("we sell lamps and bags", False), ("Ends with a stop.", False), ("", False), ("X " * 45, False)])
 def test_headings(spark, line, expected):
     assert one(spark, line, h=T.is_heading).h is expected
 
