@@ -771,13 +771,9 @@ def search_persisted_lexical(spark, d):
 @query
 def stream_ingest_dedup(spark, d):
     """Documents as a stream, each content once."""
-    from pathlib import Path
-
     out = _scratch(spark)
-    src = Path(f"{d}/documents.parquet")
-    schema = spark.read.parquet(str(src)).schema
-    folder, glob = (str(src), "*") if src.is_dir() else (str(src.parent), src.name)
-    s = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    schema = table(spark, d, "documents").schema
+    s = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")  # a pattern, since a stream reads no single file
     one = ingest.distinct_contents(s).select("sha256")
     q = one.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
