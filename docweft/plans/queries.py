@@ -1,7 +1,8 @@
 """Queries over the test tables, one or more per operator; whole tables, whole texts.
 
 ``corpus`` is ``chunks`` with repeated rows once; questions, answers and documents likewise.  A question's vector
-is the row of ``embeddings`` with its number, which is then no candidate of that question.
+is the row of ``embeddings`` with its number, which is then no candidate of that question.  Hybrid search ranks
+the whole corpus for every question; what has no vector enters by its words alone.
 """
 
 from __future__ import annotations
@@ -229,8 +230,9 @@ def rrf_two_lists(spark, d):
 
 
 def _hybrid(spark, d):
-    c = corpus(spark, d).join(vectors(spark, d).select("chunk_pos"), "chunk_pos", "left_semi")
-    return fusion.hybrid_search(asked(spark, d), lexical.build(c), vectors(spark, d), c.select("chunk_pos", "doc", "page"), exclude="qnum")
+    c = corpus(spark, d)
+    q = questions(spark, d).join(asked(spark, d).select("query_id", F.col("qnum").alias("own"), "qvec"), "query_id", "left")
+    return fusion.hybrid_search(q, lexical.build(c), vectors(spark, d), c.select("chunk_pos", "doc", "page"), exclude="own")
 
 
 @query
