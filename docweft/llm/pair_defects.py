@@ -273,7 +273,7 @@ def _rules(batches):
                 if other_language(q, a, g):
                     found.append("other_language")
                 state = cut_state(a, q, g)
-                # a refusal and a repeated question are what they are, however they end
+                # a refusal or a repeated question that breaks off stays that in the first place
                 if state == "open":
                     pair = last_pair(a)
             rows.append((i, found, state, pair, len(words(a or "")), bool(re.search(r"[.!?]\s+\S", a or ""))))
@@ -311,7 +311,7 @@ def pair_defects(answers: DataFrame, key: str = "answer_id", question: str = "qu
     cut = undecided.where((end < mid) | (end + mid == 0)).select("__id", F.lit(True).alias("__cut"))
     out = judged.join(cut, "__id", "left")
     broken = (F.col("__state") == "cut") | F.coalesce(F.col("__cut"), F.lit(False))
-    defects = F.when(broken & (F.size("__found") == 0), F.array(F.lit("truncated"))).otherwise(F.col("__found"))
+    defects = F.when(broken, F.concat("__found", F.array(F.lit("truncated")))).otherwise(F.col("__found"))
     return out.select(F.col("__id").alias(key), defects.alias("defects"), F.get(defects, F.lit(0)).alias("main"))
 
 
