@@ -28,6 +28,16 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``words_of`` stand in the text itself, also where a letter is longer in lower case."""
+    low = text.lower()
+    places = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return places
+    at = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(at[a], at[b - 1] + 1) for a, b in places]
+
+
 class Automaton:
     """Generalised suffix automaton over words, with the items of every state that ends runs of ``least`` words."""
 
@@ -114,17 +124,14 @@ class Automaton:
 def cleaned(text: str, spans: list[tuple[int, int]], max_words: int, max_coverage: float) -> tuple[str, int]:
     """The text without matched spans of more than ``max_words`` words, or without all of them if they cover more
     than ``max_coverage`` of its words; and the number of words removed."""
-    places = [m.span() for m in WORD.finditer(text.lower())]
-    if len(text.lower()) != len(text):  # lower-casing changed lengths: match case by case
-        places = [m.span() for m in WORD.finditer(text)]
+    places = word_places(text)
     total = sum(b - a for a, b in spans)
     drop = spans if total > max_coverage * max(1, len(places)) else [s for s in spans if s[1] - s[0] > max_words]
     out, at, gone = [], 0, 0
     for a, b in drop:
-        if b <= len(places):
-            out.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-            gone += b - a
+        out.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+        gone += b - a
     return "".join([*out, text[at:]]), gone
 
 
