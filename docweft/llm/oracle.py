@@ -36,6 +36,13 @@ pts AS (
   FROM items JOIN lists USING (query_id) JOIN sizes USING (query_id))
 """
 
+_GRAMS = r"""
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+h AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM heldout_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dg AS (SELECT id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+hg AS (SELECT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM h WHERE len(w) >= 12))
+"""
+
 ORACLE_SQL = {
     "p1_found": f"WITH {_RECORDS} SELECT rec_table, rec_id, term FROM sc WHERE tf >= 3 AND df <= 4",
     "p1_ranked_terms": f"""WITH {_RECORDS}
@@ -61,10 +68,11 @@ s AS (SELECT rec_table, rec_id, text,
              list_max(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '\1' || chr(10), 'g'), chr(10)), lambda x: length(x))) AS stretch
       FROM t WHERE floor(length(text) / 3.5) + 1 > 400)
 SELECT rec_table, rec_id, CASE WHEN floor(stretch / 3.5) + 1 > 400 THEN 'forced' ELSE 'natural' END AS cut_kind FROM s""",
-    "p6_found": r"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-h AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM heldout_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
-dg AS (SELECT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
-hg AS (SELECT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM h WHERE len(w) >= 12))
-SELECT DISTINCT hg.id AS item_id, dg.id AS doc_id FROM hg JOIN dg USING (g)""",
+    "p6_found": f"WITH {_GRAMS} SELECT DISTINCT hg.id AS item_id, dg.id AS doc_id FROM hg JOIN dg USING (g)",
+    # the items of the tables have twelve words or more and no script without spaces, so runs of words are all there is to find
+    "p6_extent": f"""WITH {_GRAMS},
+hit AS (SELECT dg.id AS doc_id, i, hg.id AS item_id FROM dg JOIN (SELECT DISTINCT id, g FROM hg) hg USING (g)),
+cov AS (SELECT doc_id, count(DISTINCT at) AS matched_words FROM (SELECT doc_id, unnest(range(i, i + 12)) AS at FROM hit) GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, matched_words, n_items FROM cov JOIN n USING (doc_id) JOIN d ON d.id = doc_id""",
 }

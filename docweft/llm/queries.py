@@ -70,7 +70,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_decontaminated(spark: SparkSession, d: str) -> DataFrame:
     leaks = contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
-    return leaks.select("doc_id", "n_words", "matched_words", F.size("leaks").alias("n_items"), "removed_words", "cleaned")
+    return leaks.select("doc_id", "n_words", "matched_words", _n_items(), "removed_words", "cleaned")
+
+
+def p6_extent(spark: SparkSession, d: str) -> DataFrame:
+    leaks = contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return leaks.select("doc_id", "n_words", "matched_words", _n_items())
+
+
+def _n_items():
+    return F.size(F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))).alias("n_items")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -92,4 +101,4 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranked_terms, p2_found, p2_fused, p3_found, p3_shared, p4_found, p4_all_defects,
-                                   p5_found, p5_pieces, p6_found, p6_decontaminated, p7_mixture, p7_shares, p8_found, p8_sentences)}
+                                   p5_found, p5_pieces, p6_found, p6_decontaminated, p6_extent, p7_mixture, p7_shares, p8_found, p8_sentences)}

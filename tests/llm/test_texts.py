@@ -100,8 +100,10 @@ def test_longest_runs_and_cleaning(spark):
     a = C.Automaton([(1, item), (2, "x " + item)], 12)
     longest, spans = a.scan(C.words_of(doc))
     assert longest == {1: 13, 2: 13} and spans == [(2, 15)]
-    assert C.cleaned(doc, spans, 24, 0.9) == (doc, 0)
-    text, gone = C.cleaned(doc, spans, 12, 0.9)
+    places = C.word_places(doc)
+    at = [(places[x][0], places[y - 1][1]) for x, y in spans]
+    assert C.cleaned(doc, at, 24, 0.9) == (doc, 0, 13, 27)
+    text, gone, _, _ = C.cleaned(doc, at, 12, 0.9)
     assert gone == 13 and text == "Before it. ! After it all goes on for quite some more words than that."
 
 
