@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables.
 
-``p3_``, ``p4_``, ``p5_pieces``, ``p6_decontaminated``, ``p7_`` and ``p8_`` have none: they are tested against brute
+``p4_``, ``p5_pieces``, ``p6_decontaminated``, ``p7_`` and ``p8_`` have none: they are tested against brute
 force, exact round trips and held-out accuracy in ``tests/llm``.
 """
 
@@ -21,6 +21,13 @@ sc AS (
   FROM post JOIN st USING (rec_table, term) JOIN sz USING (rec_table))
 """
 
+_SHARED = f"""{_RECORDS.split("post AS")[0].rstrip().rstrip(",")},
+win AS (SELECT rec_table, rec_id, i, substr(text, i, 200) AS w FROM (SELECT *, unnest(range(1, length(text) - 198)) AS i FROM rec WHERE length(text) >= 200)),
+two AS (SELECT md5_number(w) AS h FROM win GROUP BY 1 HAVING min(rec_table || ' ' || rec_id) <> max(rec_table || ' ' || rec_id)),
+hit AS (SELECT rec_table, rec_id, i FROM win WHERE md5_number(w) IN (SELECT h FROM two)),
+cov AS (SELECT rec_table, rec_id, sum(least(200, coalesce(nx - i, 200))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY rec_table, rec_id ORDER BY i) AS nx FROM hit) GROUP BY 1, 2)
+"""
+
 _PLACES = """
 one AS (
   SELECT query_id, retriever, chunk_id, max(score) AS score FROM hits
@@ -58,6 +65,9 @@ WHERE k >= 3 AND firsts = k - 1 AND second_in IS NOT NULL
   AND EXISTS (SELECT 1 FROM top a WHERE a.query_id = l.query_id AND a.firsts = 1 AND a.n_top = 1 AND a.first_in = t.second_in)""",
     "p2_fused": f"""WITH {_PLACES}
 SELECT query_id, chunk_id, n_scores, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS rank FROM pts""",
+    "p3_found": f"WITH {_SHARED} SELECT rec_table, rec_id FROM cov",
+    "p3_shared": f"""WITH {_SHARED} SELECT rec_table, rec_id, length(text) AS n_chars, coalesce(n, 0) AS shared_chars,
+  CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 4) ELSE 0.0 END AS shared_share FROM rec LEFT JOIN cov USING (rec_table, rec_id)""",
     "p5_found": r"""
 WITH t AS (
   SELECT DISTINCT 'chunks' AS rec_table, CAST(chunk_pos AS VARCHAR) AS rec_id, text FROM chunks WHERE chunk_pos IS NOT NULL
@@ -72,7 +82,7 @@ SELECT rec_table, rec_id, CASE WHEN floor(stretch / 3.5) + 1 > 400 THEN 'forced'
     # the items of the tables have twelve words or more and no script without spaces, so runs of words are all there is to find
     "p6_extent": f"""WITH {_GRAMS},
 hit AS (SELECT dg.id AS doc_id, i, hg.id AS item_id FROM dg JOIN (SELECT DISTINCT id, g FROM hg) hg USING (g)),
-cov AS (SELECT doc_id, count(DISTINCT at) AS matched_words FROM (SELECT doc_id, unnest(range(i, i + 12)) AS at FROM hit) GROUP BY 1),
+cov AS (SELECT doc_id, count(DISTINCT pos) AS matched_words FROM (SELECT doc_id, unnest(range(i, i + 12)) AS pos FROM hit) GROUP BY 1),
 n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items FROM hit GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, matched_words, n_items FROM cov JOIN n USING (doc_id) JOIN d ON d.id = doc_id""",
 }

@@ -123,3 +123,23 @@ def test_shared_spans_of_nothing(spark):
     assert S.shared_spans(spark.createDataFrame([], REC)).count() == 0
     with pytest.raises(ValueError):
         S.shared_spans(spark.createDataFrame([], REC), 50, 50)
+
+
+def test_one_span_in_very_many_records(spark):
+    """A span that all records have: every block sends one row of each of its hashes on, whatever the number of records."""
+    n, span = 100_000, "The same notice stands in all of these records, word for word, at this place. "
+    d = spark.range(n, numPartitions=4).select(F.lit("t").alias("rec_table"), F.col("id").cast("string").alias("rec_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(span)).alias("text"))
+    r = S.shared_spans(d, 60, 13).agg(F.count(F.lit(1)).alias("n"), F.min("shared_chars").alias("lo"), F.avg("shared_chars").alias("mean")).first()
+    assert r.n == n and len(span) <= r.lo and r.mean < len(span) + 6  # the few letters before agree with some other record's too
+    long = d.select(F.xxhash64("text").alias("__class"), F.col("text").alias("__text"))
+    most = long.mapInArrow(S._anchors(60, 13), "__k long, __class long, __v long").groupBy("__k").count().agg(F.max("count")).first()[0]
+    assert most <= 60
+
+
+def test_a_text_that_lost_its_id_is_no_record(spark):
+    a, b = "a" * 30 + "xyz", "b" * 40
+    rows = [("t", "1", a), ("t", "1", b), ("t", "2", "a" * 25 + "q"), ("t", "3", "b" * 25), (None, "4", "b" * 25), ("t", "5", None), ("t", "5", "b" * 26)]
+    d = spark.createDataFrame(rows, REC)
+    kept = min((a, b), key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    got = {r.rec_id: (r.n_chars, r.shared_chars) for r in S.shared_spans(d, 20, 7).collect()}
+    assert got == {"1": (len(kept), 30 if kept == a else 40), "2": (26, 25 if kept == a else 0), "3": (25, 25), "5": (26, 26)}
