@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import contamination, distinctive_terms, mixing, pair_defects, rank_fusion, sentences, shared_spans, splitting
-from docweft.llm._util import chunk_and_answer_records, table
+from docweft.llm._util import chunk_and_answer_records, record_texts, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    s = distinctive_terms.term_scores(chunk_and_answer_records(spark, d))
-    return s.where((F.col("tf") >= 3) & (F.col("df") <= 4)).select("rec_table", "rec_id", "term")
+    return distinctive_terms.concentrated_terms(distinctive_terms.term_scores(chunk_and_answer_records(spark, d)))
 
 
 def p1_ranked_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +44,11 @@ def p4_all_defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _splittable(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of chunks and of the chunks inside extracted documents, each once; rows without an id are left out."""
-    c = table(spark, d, "chunks").where("chunk_pos is not null").select(F.lit("chunks").alias("rec_table"), F.col("chunk_pos").cast("string").alias("rec_id"), "text", "section")
-    c = c.where(F.length("text") >= splitting.LIMIT * 3).groupBy("rec_table", "rec_id").agg(F.min(F.struct("text", "section")).alias("r")).select("rec_table", "rec_id", "r.text", "r.section")
+    """Oversized texts of chunks and of the chunks inside extracted documents, each once; rows without an id are left out."""
+    c = table(spark, d, "chunks").select(F.lit("chunks").alias("rec_table"), F.col("chunk_pos").cast("string").alias("rec_id"), "text", "section")
     x = (table(spark, d, "extracted_docs").where("sha256 is not null").select("sha256", F.posexplode("chunks").alias("ordinal", "c"))
-         .select(F.lit("extracted_docs").alias("rec_table"), F.concat_ws(":", "sha256", F.col("ordinal").cast("string")).alias("rec_id"), F.col("c.text").alias("text")))
-    x = x.where(F.length("text") >= splitting.LIMIT * 3).groupBy("rec_table", "rec_id").agg(F.min("text").alias("text")).withColumn("section", F.lit(None).cast("string"))
-    return c.unionByName(x)
+         .select(F.lit("extracted_docs").alias("rec_table"), F.concat_ws(":", "sha256", F.col("ordinal").cast("string")).alias("rec_id"), F.col("c.text").alias("text"), F.lit(None).cast("string").alias("section")))
+    return record_texts(c.unionByName(x), ["rec_table", "rec_id"], "text", splitting.token_estimate(F.length("text")) > splitting.LIMIT, {"section": F.min("section")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +57,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(_splittable(spark, d)).select("rec_table", "rec_id", "section", "piece_no", "char_start", "core_start", "char_end", "n_tokens", "cut_kind", "piece")
+    return splitting.split_oversized(_splittable(spark, d)).select("rec_table", "rec_id", "section", "piece_no", "char_start", "core_start", "char_end", "n_tokens", "cut", "cut_kind", "piece")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

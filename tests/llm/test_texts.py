@@ -46,7 +46,11 @@ def check_pieces(text, limit, overlap):
     assert "".join(text[p["core_start"] : p["char_end"]] for p in ps) == text  # exact round trip
     assert all(p["n_tokens"] <= limit for p in ps)
     for a, b in zip(ps, ps[1:]):
-        assert a["core_start"] <= b["char_start"] <= b["core_start"] == a["char_end"]
+        assert a["char_start"] <= b["char_start"] <= b["core_start"] == a["char_end"]
+        # about the wanted overlap, at every cut, unless the piece before is shorter
+        assert b["core_start"] - b["char_start"] >= min(a["char_end"] - a["char_start"], 0.7 * (overlap - 1) * 3.5 - 4)
+    if len(ps) > 1:
+        assert ps[0]["cut_kind"] == ("forced" if L.tokens_of(L.longest_stretch(text)) > limit else "natural")
     return ps
 
 
@@ -58,6 +62,15 @@ def test_splitting_round_trips():
             check_pieces(text, limit, overlap)
 
 
+def test_every_cut_repeats_the_overlap():
+    ps = check_pieces(("A sentence of one thousand and more letters " * 32)[:1380].strip().join(["", ". "]) * 6, 400, 40)
+    assert all(120 < p["core_start"] - p["char_start"] <= 140 for p in ps[1:]) and {p["cut"] for p in ps} == {"whole", "natural", "room"}
+    long = check_pieces("Short one. " * 40 + "x" * 3000 + ".\nEnd of it.", 400, 40)
+    assert {p["cut"] for p in long} == {"whole", "natural", "forced"} and {p["cut_kind"] for p in long} == {"forced"}
+    # 1399 characters are 400 tokens, and the line break after them is a boundary of its own
+    assert L.split_text(("y" * 1399 + "\n") * 3)[0]["cut_kind"] == "natural" and L.split_text(("y" * 1400 + "\n") * 3)[0]["cut_kind"] == "forced"
+
+
 def test_splitting_prefers_strong_boundaries():
     text = ("One sentence here. " * 40 + "\n\n") * 2
     cut = check_pieces(text, 400, 40)[1]["core_start"]
