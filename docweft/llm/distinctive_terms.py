@@ -36,7 +36,7 @@ def term_scores(records: DataFrame, scope: str = "rec_table", rec: str = "rec_id
     postings = (one.select(scope, rec, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
                 .groupBy(scope, rec, "term").agg(F.count(F.lit(1)).alias("tf")))
     postings = stored(postings)  # five uses follow; without this each would read and split the texts again
-    stats = postings.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stats = stored(postings.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
     scored = join_stats(postings, stats, [scope, "term"], "df", [rec]).join(sizes, scope)
     ridf = residual_idf(F.col("n_records").cast("double"), F.col("df"), F.col("cf"))
     return scored.withColumn("ridf", ridf).select(scope, rec, "term", "tf", "df", "cf", "n_records", "ridf", (F.col("tf") * F.col("ridf")).alias("score"))

@@ -2,7 +2,8 @@
 
 The rules look at one pair each and run in this order: ``empty``, ``refusal``,
 ``copies_question``, ``other_language``, ``truncated``.  All that apply are emitted; the first is the
-pair's main defect.  Whether an answer without closing punctuation breaks off is settled with counts over
+pair's main defect.  Languages are told apart by script and, within one, by trigram profiles learned from
+labelled documents.  Whether an answer without closing punctuation breaks off is settled with counts over
 all answers: how often its last two words close a sentence, and how often they are followed by more.
 """
 
@@ -11,11 +12,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.durable import stored
 from docweft.llm._util import ships
+from docweft.llm.languages import LanguageProfiles
 
 ORDER = ("empty", "refusal", "copies_question", "other_language", "truncated")
 
@@ -49,7 +53,17 @@ REFUSALS = [
     r"\bno (?:puedo|podemos|sé|sabemos|encuentro|tengo|dispongo|es posible) ?(?:responder|contestar|ayudar|decir|encontrar|información|determinar|saber)?", r"\bno (?:contienen?|mencionan?|indican?|dicen?|incluyen?|hay) (?:esta|esa|ninguna|nada|información|respuesta)\b", r"\bninguna respuesta\b",
     r"\bnão (?:posso|podemos|sei|sabemos|encontrei|encontro|tenho|é possível|consigo)\b", r"\bnão (?:contêm|contém|mencionam?|indicam?|dizem|diz|há|incluem) (?:esta|essa|nenhuma|nada|informaç|resposta)", r"\bnenhuma (?:resposta|informação)\b",
     # de
-    r"\b(?:ich|wir) (?:kann|können|weiß|wissen|finde|habe)\b[^.]*\b(?:nicht|keine?|kein)\b", r"\b(?:unterlagen|dokumente?|texte?|passagen|abschnitte|auszüge)\b[^.]*\b(?:enthalten|enthält|nennen|nennt|sagen|sagt|erwähnen)\b[^.]*\b(?:nicht|nichts|keine?)\b", r"\bkeine (?:antwort|angabe|information)(?:en)?\b(?: \w+){0,3} (?:möglich|vorhanden|gefunden|verfügbar)",
+    r"\b(?:ich|wir|man) (?:kann|können)\b[^.;,]*\bnicht (?:beantworten|antworten|helfen|sagen|angeben|finden|nennen|beurteilen)\b", r"\b(?:kann|können) (?:ich|wir|man)\b[^.;,]*\bnicht (?:beantworten|antworten|helfen|sagen|angeben|finden|nennen|beurteilen)\b",
+    r"\b(?:ich weiß|wir wissen|weiß ich|wissen wir)(?: \w+){0,2} nicht\b", r"\b(?:ich habe|wir haben|ich finde|wir finden|habe ich|haben wir|finde ich|finden wir)(?: \w+){0,3} (?:keine|nicht genug|nicht genügend) (?:antwort|angaben?|information(?:en)?|hinweise?|daten|kenntnis)\b",
+    r"\b(?:unterlagen|dokumente?n?|texte?n?|passagen|abschnitte?n?|auszüge?n?)\b[^.;]*\b(?:enthalten|enthält|nennen|nennt|sagen|sagt|erwähnen|erwähnt)\b[^.;]*\b(?:nicht|nichts|keine?)\b", r"\b(?:nicht|keine?) (?:\w+ ){0,4}in den (?:unterlagen|dokumenten|texten)\b",
+    r"\bkeine (?:antwort|angabe|information)(?:en)?\b(?: \w+){0,3} (?:möglich|vorhanden|gefunden|verfügbar)",
+    # it, nl
+    r"\bnon (?:posso|possiamo|so|sappiamo|trovo|sono in grado|è possibile|dispongo)\b(?: \w+){0,3}? ?(?:rispondere|aiutar\w*|dire|trovare|determinare|risposta|informazioni)?", r"\b(?:documenti|testi|passaggi|fonti)\b[^.;]*\bnon (?:contengono|menzionano|indicano|dicono|riportano)\b", r"\b(?:nessuna (?:risposta|informazione)|mi dispiace[^.;]*\bnon)\b",
+    r"\b(?:ik|wij|we) (?:kan|kunnen|weet|weten|vind|heb)\b[^.;,]*\b(?:niet (?:beantwoorden|helpen|zeggen|vinden)|geen (?:antwoord|informatie|gegevens)|het niet)\b", r"\b(?:documenten|stukken|teksten|bronnen)\b[^.;]*\b(?:bevatten|vermelden|noemen|zeggen)\b[^.;]*\b(?:niet|niets|geen)\b", r"\bkan (?:ik|deze vraag)[^.;]*\bniet (?:beantwoorden|worden beantwoord)\b",
+    # pl, ru, ko
+    r"\bnie (?:mogę|możemy|wiem|wiemy|jestem w stanie|znajduję|udało się)\b", r"\b(?:dokument\w*|tekst\w*|źród\w*)\b[^.;]*\bnie (?:zawiera\w*|wspomina\w*|podaj\w*|ma)\b", r"\bbrak (?:odpowiedzi|informacji)\b",
+    r"\bне (?:могу|можем|знаю|знаем|удалось|нахожу)\b", r"\b(?:документ\w*|текст\w*|источник\w*)\b[^.;]*\b(?:не (?:содерж\w*|упомина\w*|указыва\w*|говор\w*)|нет (?:ответа|информации|данных))\b", r"\bнет (?:информации|ответа)\b",
+    r"(?:답변|대답)(?:을|를)? ?(?:할|드릴) 수 없|알 수 없|모르겠|(?:문서|자료|본문)(?:에|에는|에서)[^.]*(?:없|않)|정보가 (?:없|부족)|죄송",
     # zh, ja
     r"(?:无法|不能|没办法)(?:回答|提供|确定|帮助)|我不知道|(?:文件|文档|资料|段落|上下文)中?(?:没有|未|并未)(?:提|包含|说明|找到|相关)|没有(?:相关)?(?:信息|答案)|抱歉.{0,12}(?:无法|不能)", r"(?:お答え|回答)(?:でき|出来)ません|わかりません|分かりません|(?:文書|資料|記載)(?:に|が|は)?.{0,12}(?:ありません|ない|含まれていません|見つかりません)|申し訳.{0,20}ません",
     # ar, hi, th, am
@@ -58,11 +72,15 @@ REFUSALS = [
 ]
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
 #: One of these words, or a word that begins so, is in every refusal in Latin script; the patterns are only tried then.
-REFUSAL_WORDS = frozenset("no not nothing none cannot t unable decline ai model assistant insufficient ne n aucun aucune impossible ninguna não nenhuma nicht nichts kein keine".split())
+REFUSAL_WORDS = frozenset("no not nothing none cannot t unable decline ai model assistant insufficient ne n aucun aucune impossible ninguna não nenhuma nicht nichts kein keine non nessuna niet niets geen nie brak".split())
 REFUSAL_STARTS = ("not_", "si", "hatuwezi", "hai", "hazi", "haziwezi", "hakuna", "samahani")
+SENTENCE_END = re.compile(r"[.!?;。！？।።؟]+(?=\s|$|[^\x00-\x7f])|\n")
 FOREIGN = re.compile(r"[\u0250-\u02ff\u0370-\u1dff\u2c00-\ud7ff\uf900-\uffff\U00010000-\U0010ffff]")
 
-#: Frequent words that tell the languages in Latin script apart.
+#: By how much a text has to be likelier in another language, in all and for each of its trigrams.
+LEAST_ODDS, LEAST_ODDS_EACH = 9.0, 0.2
+
+#: Frequent words of some languages in Latin script: the only evidence without profiles, and the surer one in short sentences.
 STOPWORDS = {
     "en": "the of to and in is are a an for with on at by from that this be can not it as until after before each within what when where which who how does do my i or has have was were per once if must only any will long many much under all your you we they there their",
     "fr": "le la les des du de et est une un au aux pour par avec dans sur qui que quel quelle où ce cette chez si en pas ne plus après avant sont il elle combien quand se dès doit faut lors sauf fin vaut comme soit oui selon sous entre jusqu",
@@ -82,11 +100,13 @@ HANGING = frozenset(("the a an of to and or in on at by from with for that this
                      "el los las del y una para con que al su lo o os as do da dos das e em um uma com ao").split())
 
 CLOSED = re.compile(r"[.!?。！？।።؟…｡][\"'”’»」』）)\]\s]*$")
+WORDS = re.compile(r"\w+")
 CITED = re.compile(r"(?:\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]|\((?:see|voir|tazama|siehe|véase|ver|cf\.?)[^()]*\)|\(\s*\[?\d+\]?\s*\))\s*$", re.I)
 MARKER = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-•*–]|[a-z][.)])\s*$")
 DANGLING = re.compile(r"[,;:\-–—(\[{“«„「/&]\s*$|[:,]\s*[\"']\s*$")
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|《[^》]*》")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+WORD = re.compile(r"[^\W\d_]+")
+SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: A leading word of the frame of a repeated question.
 FRAME = frozenset("q a question answer you asked asks ask the is was your my user query here frage antwort la le est vous avez demandé swali jibu ni umeuliza pregunta respuesta pergunta resposta réponse it asking about i see so ok okay well".split())
 
@@ -105,7 +125,7 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"\w+", plain(text))
+    return WORDS.findall(plain(text))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -115,28 +135,34 @@ def is_empty(answer: str | None) -> bool:
     return bare in PLACEHOLDERS
 
 
-def is_refusal(answer: str) -> bool:
+def is_refusal(answer: str, gold: str | None = None) -> bool:
+    """Some sentence declines, and the sentences that don't give no figure of the gold answer, nor most of its words."""
     t = " ".join(plain(answer).split())
-    if not FOREIGN.search(t):
-        ws = re.findall(r"\w+", t)
-        if REFUSAL_WORDS.isdisjoint(ws) and not any(w.startswith(REFUSAL_STARTS) for w in ws):
-            return False
-    return bool(REFUSAL.search(t))
+    ws = WORDS.findall(t)
+    if not FOREIGN.search(t) and REFUSAL_WORDS.isdisjoint(ws) and not any(w.startswith(REFUSAL_STARTS) for w in ws):
+        return False
+    if not REFUSAL.search(t):
+        return False
+    if not gold:
+        return True
+    rest = {w for part in SENTENCE_END.split(t) if part and not REFUSAL.search(part) for w in WORDS.findall(part)}
+    wanted = set(words(gold))
+    figures = {w for w in wanted if any(c.isdigit() for c in w)}
+    return not (figures <= rest if figures else len(wanted & rest) > 0.6 * len(wanted))
 
 
-def copies_question(question: str | None, answer: str) -> bool:
-    """Nothing is left of the answer once the question, as often as it occurs, and the words of a frame are taken out."""
-    q, a = words(question or ""), words(answer)
-    if len(q) < 2 or not a:
+def copies_question(q: list[str], a: list[str]) -> bool:
+    """Nothing is left of the answer's words once the question's, as often as they occur, and the words of a frame are taken out."""
+    if len(q) < 2 or len(a) < len(q) or f" {' '.join(q)} " not in f" {' '.join(a)} ":
         return False
-    left, i, found = [], 0, False
+    left, i = [], 0
     while i < len(a):
         if a[i : i + len(q)] == q:
-            found, i = True, i + len(q)
+            i += len(q)
         else:
             left.append(a[i])
             i += 1
-    return found and all(w in FRAME for w in left)
+    return all(w in FRAME for w in left)
 
 
 def script_of(text: str) -> str:
@@ -160,36 +186,65 @@ def script_of(text: str) -> str:
     return max(counts, key=counts.get)
 
 
+#: Not a sign of a language: quoted titles, and words in capitals with underscores.
+ASIDE = re.compile(QUOTED.pattern + r"|\b[A-Z0-9]+(?:_[A-Z0-9]+)+\b")
+
+
 def language_scores(text: str) -> dict[str, int]:
-    """Stop words of each language, leaving out quoted titles and words in capitals with underscores."""
-    bare = re.sub(r"\b[A-Z0-9]+(?:_[A-Z0-9]+)+\b", " ", QUOTED.sub(" ", text))
+    """Stop words of each language."""
     out = dict.fromkeys(STOP, 0)
-    for w in re.findall(r"[^\W\d_]+", plain(bare)):
+    for w in WORD.findall(plain(text)):
         for k in LANGUAGES_OF.get(w, ()):
             out[k] += 1
     return out
 
 
-def other_language(question: str | None, answer: str, gold: str | None) -> bool:
-    q = question or ""
-    sq, sa = script_of(q), script_of(QUOTED.sub(" ", answer))
-    if not sq or not sa:
-        return False
-    if gold and words(gold) == words(answer):
-        return False
-    if sq != sa:
-        return not {sq, sa} <= {"han", "kana"} or sa == "kana" or sq == "kana"
-    if sq != "latin":
-        return False
-    lq, la = language_scores(q), language_scores(answer)
+def stop_words_differ(question: str, bare: str, gold: str | None) -> bool | None:
+    """Whether the stop words of the answer are of another language; None where they don't tell."""
+    la, lq = language_scores(bare), language_scores(question)
     if gold:
         lg = language_scores(gold)
         lq = {k: v + min(1, lg[k]) for k, v in lq.items()}
-    own, best = max(lq, key=lq.get), max(la, key=la.get)
-    if lq[own] == 0 or la[best] < 2 or own == best:
-        return False
+    best, own = max(la, key=la.get), max(lq, key=lq.get)
+    if la[best] < 2 or lq[own] == 0:
+        return None
     same = [k for k, v in lq.items() if v == lq[own]]
-    return best not in same and la[best] >= la[own] + 2 and la[best] >= 2 * max(la[k] for k in same)
+    if max(la[k] for k in same) == la[best]:
+        return False
+    return best not in same and la[best] >= la[own] + 2 and la[best] >= 2 * max(la[k] for k in same) or None
+
+
+def other_languages(pairs: list[tuple[str | None, str | None, str | None]], profiles: LanguageProfiles) -> list[bool]:
+    """For each question, answer and gold answer: whether the answer is in another language than the question.
+
+    Scripts decide where they differ.  Within a script either the stop words do, or the answer is clearly likelier in some
+    other language than in the question's, and the question not; the gold answer speaks for the question's language.  An answer in a language
+    without a profile is found only where one with a profile is nearer to it than the question's.
+    """
+    out, open_, asked, said = [False] * len(pairs), [], [], []
+    for i, (q, a, g) in enumerate(pairs):
+        if not q or not a or g == a:
+            continue
+        bare = ASIDE.sub(" ", a) if any(c in a for c in '"“«„「《_') else a
+        sq, sa = script_of(q), script_of(bare)
+        if not sq or not sa or g and words(g) == words(a):
+            continue
+        if sq != sa:
+            out[i] = not {sq, sa} <= {"han", "kana"} or sa == "kana" or sq == "kana"
+        elif sq == "latin" and (differ := stop_words_differ(q, bare, g)) is not None:
+            out[i] = differ
+        else:
+            open_.append(i)
+            asked.append(f"{q} {g or ''}")
+            said.append(bare)
+    if open_ and len(profiles.names) > 1:
+        (s_q, n_q), (s_a, n_a) = profiles.scores(asked), profiles.scores(said)
+        own, best, row = s_q.argmax(1), s_a.argmax(1), np.arange(len(open_))
+        odds = s_a[row, best] - s_a[row, own]
+        sure = s_q[row, own] - s_q[row, best] >= LEAST_ODDS_EACH * n_q
+        for i, yes in zip(open_, sure & (odds >= LEAST_ODDS) & (odds >= LEAST_ODDS_EACH * n_a)):
+            out[i] = bool(yes)
+    return out
 
 
 def unclosed(text: str) -> bool:
@@ -199,7 +254,14 @@ def unclosed(text: str) -> bool:
             return True
     if text.count("“") > text.count("”") and text.count("„") == 0:
         return True
-    return text.count('"') % 2 == 1
+    if text.count('"') % 2 == 0:
+        return False
+    inside = False
+    for m in re.finditer('"', text):
+        # after a digit, with no quotation open, it is the sign of inches
+        if inside or not text[: m.start()][-1:].isdigit():
+            inside = not inside
+    return inside
 
 
 def mask(word: str) -> str:
@@ -212,103 +274,130 @@ def mask(word: str) -> str:
 
 
 ENDS = re.compile(r"[^\s]+")
+AROUND = "\"'“”«»()[],;:"
+THAI = re.compile(r"[\u0e00-\u0e7f]+")
+#: Characters at the end of a run of Thai whose following decides whether it breaks off.
+THAI_TAIL = 5
+
 
+def pair_counts(answer: str, into: dict[str, list[int]]) -> None:
+    """Counts in ``into``, for every two neighbouring words, how often a sentence closes right after them and how often not.
 
-def pair_counts(answer: str) -> list[tuple[str, bool]]:
-    """For every two neighbouring words: the pair and whether a sentence closes right after it.  The end of an
-    answer without closing punctuation counts for neither."""
-    out = []
+    The end of an answer without closing punctuation counts for neither.  Thai has no such marks; there the
+    last letters of every run count, and those inside it.
+    """
     tokens = ENDS.findall(answer)
+    before = tokens[0].strip(AROUND) if tokens else ""
     for i in range(1, len(tokens)):
-        a, b = tokens[i - 1], tokens[i]
+        b = tokens[i]
         core = b.rstrip(".!?。…\"'”»)],;:")
-        if not core:
-            continue
-        closed = b[len(core) :][:1] in tuple(".!?。…")
-        if i == len(tokens) - 1 and not closed:
-            continue
-        out.append((mask(a.strip("\"'“”«»()[],;:")) + " " + mask(core.strip("\"'“”«»()[],;:")), closed))
-    return out
+        word = core.strip(AROUND)
+        closed = b[len(core) : len(core) + 1] in (".", "!", "?", "。", "…")
+        if core and (closed or i < len(tokens) - 1):
+            into.setdefault(mask(before) + " " + mask(word), [0, 0])[not closed] += 1
+        before = b.strip(AROUND)
+    if not answer.isascii():
+        for run in THAI.findall(answer):
+            for k in range(len(run) - THAI_TAIL + 1):
+                into.setdefault("~" + run[k : k + THAI_TAIL], [0, 0])[k < len(run) - THAI_TAIL] += 1
 
 
 def last_pair(answer: str) -> str:
     tokens = ENDS.findall(answer.rstrip())
     a, b = (tokens[-2] if len(tokens) > 1 else ""), (tokens[-1] if tokens else "")
-    return mask(a.strip("\"'“”«»()[],;:.")) + " " + mask(b.strip("\"'“”«»()[],;:"))
+    return mask(a.strip(AROUND)) + " " + mask(b.strip(AROUND + "."))
 
 
-def cut_state(answer: str, question: str | None, gold: str | None) -> str:
-    """``cut``, ``whole``, or ``open`` where only the counts over all answers can tell."""
+def cut_state(answer: str, said: list[str], gold: str | None) -> str:
+    """``cut``, ``whole``, ``open`` where only the counts over all answers can tell, or ``doubt`` where they have to speak for a cut."""
     t = answer.rstrip()
-    if MARKER.search(answer) and "\n" in answer.strip():
+    if "\n" in answer.strip() and MARKER.search(answer):
         return "cut"
-    if CITED.search(t) and not unclosed(t):
+    last = t[-1]
+    if last in ")]" and CITED.search(t, max(0, t.rfind("(" if last == ")" else "["))) and not unclosed(t):
         return "whole"
-    if unclosed(t) or DANGLING.search(answer) or re.search(r"(?:…|\.\.\.)[\"'”’»)]*$", t):
+    if unclosed(t) or DANGLING.search(t[-64:]) or last in "….\"'”’»)" and re.search(r"(?:…|\.\.\.)[\"'”’»)]*$", t):
         return "cut"
-    if CLOSED.search(t) or (re.search(r"[\"”»」』)\]]$", t)):
+    if CLOSED.search(t[-64:]) or last in "\"”»」』)]":
         return "whole"
-    w = words(t)
-    if not w or words(gold or "") == w or "_" in t.split()[-1]:
+    if not said or words(gold or "") == said or "_" in t.split()[-1]:
         return "whole"
-    if script_of(t) in ("thai", "han", "kana", "arabic", "devanagari", "ethiopic"):
-        return "whole" if script_of(t) == "thai" else "open"
-    if plain(WORD.findall(t)[-1] if WORD.search(t) else "") in HANGING:
+    script = script_of(t)
+    if script == "thai":
+        return "doubt"
+    if script not in ("han", "kana", "arabic", "devanagari", "ethiopic") and plain((SPOKEN.findall(t[-128:]) or [""])[-1]) in HANGING:
         return "cut"
     return "open"
 
 
-def _rules(batches):
-    for b in batches:
-        rows = []
-        for i, q, a, g in zip(*(b.column(k).to_pylist() for k in range(4))):
-            found, state, pair = [], "whole", ""
-            if is_empty(a):
-                found.append("empty")
-            else:
-                if g is not None and is_refusal(a):
-                    found.append("refusal")
-                if copies_question(q, a):
-                    found.append("copies_question")
-                if other_language(q, a, g):
-                    found.append("other_language")
-                state = cut_state(a, q, g)
-                # a refusal or a repeated question that breaks off stays that in the first place
-                if state == "open":
-                    pair = last_pair(a)
-            rows.append((i, found, state, pair, len(words(a or "")), bool(re.search(r"[.!?]\s+\S", a or ""))))
-        if rows:
-            kind = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), kind)], names=["__id", "__found", "__state", "__pair", "__words", "__several"])
-
-
-def _pairs(batches):
-    for b in batches:
-        keys, closes = [], []
-        for a in b.column(0).to_pylist():
-            for k, c in pair_counts(a):
-                keys.append(k)
-                closes.append(c)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(closes)], names=["__pair", "__closes"])
-
-
-def pair_defects(answers: DataFrame, key: str = "answer_id", question: str = "question", answer: str = "answer", gold: str = "gold_answer") -> DataFrame:
+#: Pairs a worker counts before it sends them on.
+PAIRS_HELD = 200_000
+
+
+def _rules(profiles: LanguageProfiles):
+    """One row per answer, and rows of pair counts (null id), summed up per worker before they are sent on."""
+    kind = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64())
+    names = ["__id", "__found", "__state", "__pair", "__end", "__mid"]
+
+    def sent(counts):
+        n = len(counts)
+        ends, mids = zip(*counts.values())
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind[0]), pa.nulls(n, kind[1]), pa.nulls(n, kind[2]), pa.array(list(counts), kind[3]), pa.array(ends, kind[4]), pa.array(mids, kind[5])], names=names)
+
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+        for b in batches:
+            ids, *columns = (b.column(k).to_pylist() for k in range(4))
+            rows = []
+            for i, q, a, g, other in zip(ids, *columns, other_languages(list(zip(*columns)), profiles)):
+                found, state, pair = [], "whole", ""
+                if is_empty(a):
+                    found.append("empty")
+                else:
+                    said = words(a)
+                    if g is not None and is_refusal(a, g):
+                        found.append("refusal")
+                    if q and copies_question(words(q), said):
+                        found.append("copies_question")
+                    if other:
+                        found.append("other_language")
+                    state = cut_state(a, said, g)
+                    if state == "open":
+                        pair = last_pair(a)
+                    elif state == "doubt":
+                        pair = "~" + (THAI.findall(a.rstrip()) or [""])[-1][-THAI_TAIL:]
+                if a is not None:
+                    pair_counts(a, counts)
+                rows.append((i, found, state, pair, 0, 0))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), kind)], names=names)
+            if len(counts) > PAIRS_HELD:
+                yield sent(counts)
+                counts = {}
+        if counts:
+            yield sent(counts)
+
+    return run
+
+
+def pair_defects(answers: DataFrame, profiles: LanguageProfiles | None = None, key: str = "answer_id", question: str = "question", answer: str = "answer", gold: str = "gold_answer") -> DataFrame:
     """``key, defects array<string>, main string``: one row per pair, ``main`` null where there is no defect.
 
-    ``key`` is a whole number.  A repeated row counts once; rows with a null key are left out; a null
-    question can neither be copied nor differ in language; a null gold answer means that the question
-    can't be answered, so declining is right.  Other columns are ignored; an empty table gives an empty
-    result.  The words that close sentences are counted over all answers and joined by pair, not broadcast.
+    ``key`` is a whole number.  ``profiles`` tell languages of one script apart; without them only scripts are compared.  A repeated
+    row counts once; rows with a null key are left out; a null question can neither be copied nor differ in language; a
+    null gold answer means that the question can't be answered, so declining is right.  Other columns are ignored; an
+    empty table gives an empty result.  The rules and the counts of the words that close sentences are made in one pass and
+    stored; the counts are joined by pair, not broadcast.
     """
+    profiles = profiles or LanguageProfiles([], np.zeros((0, 0), dtype=np.float32))
     one = (answers.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__id"))
            .agg(F.min(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"), F.col(gold).alias("g"))).alias("__r")).select("__id", "__r.q", "__r.a", "__r.g"))
-    judged = one.mapInArrow(_rules, "__id long, __found array<string>, __state string, __pair string, __words int, __several boolean")
-    counts = (one.where(F.col("a").isNotNull()).select("a").mapInArrow(_pairs, "__pair string, __closes boolean")
-              .groupBy("__pair").agg(F.sum(F.col("__closes").cast("int")).alias("__end"), F.sum((~F.col("__closes")).cast("int")).alias("__mid")))
-    undecided = judged.where(F.col("__state") == "open").select("__id", "__pair", "__several").join(counts, "__pair", "left")
-    end, mid = F.coalesce(F.col("__end"), F.lit(0)), F.coalesce(F.col("__mid"), F.lit(0))
-    cut = undecided.where((end < mid) | (end + mid == 0)).select("__id", F.lit(True).alias("__cut"))
+    both = stored(one.mapInArrow(_rules(profiles), "__id long, __found array<string>, __state string, __pair string, __end long, __mid long"))
+    judged = both.where("__id is not null").select("__id", "__found", "__state", "__pair")
+    counts = both.where("__id is null").groupBy("__pair").agg(F.sum("__end").alias("__end"), F.sum("__mid").alias("__mid"))
+    undecided = judged.where("__state in ('open', 'doubt')").select("__id", "__state", "__pair").join(counts, "__pair", "left")
+    end, mid = F.coalesce("__end", F.lit(0)), F.coalesce("__mid", F.lit(0))
+    cut = undecided.where((end < mid) | ((end + mid == 0) & (F.col("__state") == "open"))).select("__id", F.lit(True).alias("__cut"))
     out = judged.join(cut, "__id", "left")
     broken = (F.col("__state") == "cut") | F.coalesce(F.col("__cut"), F.lit(False))
     defects = F.when(broken, F.concat("__found", F.array(F.lit("truncated")))).otherwise(F.col("__found"))

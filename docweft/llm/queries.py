@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import contamination, distinctive_terms, mixing, pair_defects, rank_fusion, sentences, shared_spans, splitting
+from docweft.llm import contamination, distinctive_terms, languages, mixing, pair_defects, rank_fusion, sentences, shared_spans, splitting
 from docweft.llm._util import chunk_and_answer_records, record_texts, table
 
 
@@ -35,12 +35,16 @@ def p3_shared(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 4)).otherwise(F.lit(0.0)))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects.pair_defects(table(spark, d, "answers"), languages.learn(table(spark, d, "documents")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pair_defects.pair_defects(table(spark, d, "answers")).where("main is not null").select("answer_id", F.col("main").alias("defect"))
+    return _defects(spark, d).where("main is not null").select("answer_id", F.col("main").alias("defect"))
 
 
 def p4_all_defects(spark: SparkSession, d: str) -> DataFrame:
-    return pair_defects.pair_defects(table(spark, d, "answers")).select("answer_id", F.explode("defects").alias("defect"))
+    return _defects(spark, d).select("answer_id", F.explode("defects").alias("defect"))
 
 
 def _splittable(spark: SparkSession, d: str) -> DataFrame:
