@@ -1,10 +1,9 @@
 """Sentence boundaries across languages and scripts, with a maximum-entropy classifier.
 
 Candidates are the ends of runs of closing punctuation (with the quotes and brackets that close
-there) and, in Thai script, which has no such marks, the blanks.  What stands inside a quotation
-or bracket is no candidate: a quotation inside a running sentence does not end it.  Every other
-candidate is classified from its neighbours: the tokens on either side, their case, length, digits
-and script, the mark itself.
+there) and, in Thai script, which has no such marks, the blanks.  Every candidate is classified from
+its neighbours: the tokens on either side, their case, length, digits and script, the mark itself, and
+whether it stands inside a quotation or bracket that is part of a running sentence.
 
 Training needs no labels.  The ends of paragraphs, with the start of the paragraph that follows,
 are reliable boundaries; candidates inside paragraphs are unlabelled, boundaries or not.
@@ -30,7 +29,7 @@ from docweft.session import Kept
 #: Most candidates the model is fitted on; a documented bound, since the fit runs on the driver.
 TRAINING_ROWS = 150_000
 #: Documents whose candidates are looked at for training, picked by a hash of their id.
-TRAINING_DOCUMENTS = 12_000
+TRAINING_DOCUMENTS = 8_500
 DIMENSIONS = 1 << 16
 #: A candidate is a boundary if its probability exceeds this share of the median over the reliable boundaries.
 SHARE = 0.25
@@ -64,17 +63,19 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 
 
 def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Spans (opening mark, closing mark) of the outermost closed quotations and brackets in ``text[a:b]``."""
+    """Spans (opening mark, closing mark) of the outermost closed quotations and brackets in ``text[a:b]``.
+
+    A straight quote after a digit, with no quotation open, is the sign of inches and opens none."""
     spans, stack = [], []
     straight = -1
     for m in ENCLOSING.finditer(text, a, b):
         i, c = m.start(), m.group()
         if c == '"':
-            if straight < 0:
-                straight = i
-            else:
+            if straight >= 0:
                 spans.append((straight, i))
                 straight = -1
+            elif not (i > a and text[i - 1].isdigit()):
+                straight = i
         elif stack and c == stack[-1][0]:
             spans.append((stack.pop()[1], i))
         elif c in PAIRS:
@@ -91,6 +92,22 @@ def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return outer
 
 
+def runs_on(text: str, a: int, b: int, i: int, j: int) -> bool:
+    """Whether the quotation or bracket from ``i`` to ``j`` is part of a running sentence: text leads into it, or out of it,
+    or it does not end with a closing mark."""
+    k = i - 1
+    while k >= a and text[k].isspace():
+        k -= 1
+    if k >= a and text[k] not in MARKS and text[k] not in "”»」』）)]》】›\"":
+        return True
+    if text[j - 1] not in MARKS:
+        return True
+    k = j + 1
+    while k < b and text[k].isspace():
+        k += 1
+    return k < b and (k == j + 1 or not (text[k].isupper() or text[k] in OPENERS or _class(text[k]) in "DRE"))
+
+
 @Kept
 def _class(c: str) -> str:
     o = ord(c)
@@ -122,35 +139,67 @@ def _normal(token: str) -> str:
 DENSE = "HKT"
 
 
-def contexts(text: str, a: int, start: int, end: int, right: int, b: int, right_text: str | None = None) -> tuple[tuple, ...]:
-    """What the features of a candidate depend on, in six groups that recur and whose features can therefore be kept.
+@Kept
+def _before(left: str, blank: bool) -> tuple:
+    """Of the text before a mark: its last word, the one before, shape, length, whether it has a full stop inside, and the last character's class."""
+    lt = left.rsplit(None, 2)
+    l1 = (lt[-1] if lt and not left[-1:].isspace() else "").lstrip(OPENERS)
+    l2 = _normal(lt[-2].rsplit(None, 1)[-1]) if len(lt) > 1 else "^"
+    kl = _class(l1[-1:] or " ")
+    if kl in DENSE or l1 == "" and blank:
+        l1, l2 = left.strip()[-3:], left.strip()[-6:]
+    return _normal(l1), l2, _shape(l1), min(len(l1), 6), "." in l1, kl
+
 
-    The candidate's mark begins at ``start`` and its closing marks end at ``end``; ``a`` and ``b`` bound the paragraph,
-    ``right`` is where the next token begins.  ``right_text`` stands in for what follows, for a paragraph's end.
-    """
-    left = text[max(a, start - 40) : start]
-    mark = text[start:end] if not text[start].isspace() else " "
-    follow = (text[right : min(b, right + 40)] if right_text is None else right_text[:40])
+@Kept
+def _after(follow: str) -> tuple:
+    """Of the text after a mark: its first word, the next, shape, opening mark, case and the first character's class."""
     bare = follow.lstrip(OPENERS)
-    lt = left.split()
-    l1 = (lt[-1] if lt and not left[-1:].isspace() else "").lstrip(OPENERS)
-    l2 = _normal(lt[-2]) if len(lt) > 1 else "^"
     ft = bare.split(None, 2)
     r1 = ft[0].rstrip(",;:") if ft else ""
     r2 = _normal(ft[1]) if len(ft) > 1 else ""
-    kl, kr = _class(l1[-1:] or " "), _class(bare[:1] or " ")
-    if kl in DENSE or l1 == "" and mark == " ":
-        l1, l2 = left.strip()[-3:], left.strip()[-6:]
+    kr = _class(bare[:1] or " ")
     if kr in DENSE:
         r1, r2 = bare[:2], bare[:4]
-    n1, m1, sl = _normal(l1), _normal(r1), _shape(l1)
-    camel = len(r1) > 1 and r1[0].islower() and r1[1].isupper()
-    case = "camel" if camel else kr + ("s" if len(r1) == 1 else "")
-    size = min(len(l1), 6)
-    opener = follow[:1] if follow[:1] in OPENERS else ""
-    closing = mark.strip(MARKS + " ")
-    what = mark.rstrip("\"'”’»›)]}」』）】》〉“   ")[:3]
-    return (("L", n1, l2, sl, size), ("R", m1, r2, _shape(r1), opener), ("X", what, closing, case, sl, size, "." in l1, opener, kl, kr), ("C", n1, case), ("K", closing, m1, kl, what), ("P", l2, case, size))
+    case = "camel" if len(r1) > 1 and r1[0].islower() and r1[1].isupper() else kr + ("s" if len(r1) == 1 else "")
+    return _normal(r1), r2, _shape(r1), follow[:1] if follow[:1] in OPENERS else "", case, kr
+
+
+@Kept
+def _mark(mark: str) -> tuple[str, str]:
+    """Closing quotes and brackets of a run of marks, and the marks before them."""
+    return mark.strip(MARKS + " "), mark.rstrip("\"'”’»›)]}」』）】》〉“   ")[:3]
+
+
+#: Two words and what stands before, at most so many characters, are all that is looked at on either side.
+REACH = 40
+
+
+def around(text: str, a: int, start: int, end: int, right: int, b: int, right_text: str | None = None) -> tuple[str, str, str]:
+    """What stands before a candidate, its marks, and what follows, as far as features look: two words on either side, ``REACH`` characters at most.
+
+    The candidate's mark begins at ``start`` and its closing marks end at ``end``; ``a`` and ``b`` bound the paragraph,
+    ``right`` is where the next token begins.  ``right_text`` stands in for what follows, for a paragraph's end.
+    """
+    left = text[max(a, start - REACH) : start]
+    follow = text[right : min(b, right + REACH)] if right_text is None else right_text[:REACH]
+    if left.isascii() and "  " not in left:
+        cut = left.rfind(" ", 0, max(0, left.rfind(" ", 0, len(left) - 1)))
+        if cut > 0:
+            left = left[cut + 1 :]
+    if follow[:1].isalnum() and follow.isascii() and "  " not in follow:
+        cut = follow.find(" ", follow.find(" ") + 1) if " " in follow else -1
+        if cut > 2:
+            follow = follow[:cut]
+    return left, " " if text[start].isspace() else text[start:end], follow
+
+
+def contexts(left: str, mark: str, follow: str, inside: bool = False) -> tuple[tuple, ...]:
+    """What the features of a candidate depend on, in six groups that recur; ``inside``: it is in a quotation or bracket of a running sentence."""
+    n1, l2, sl, size, inner, kl = _before(left, mark == " ")
+    m1, r2, sr, opener, case, kr = _after(follow)
+    closing, what = _mark(mark)
+    return (("L", n1, l2, sl, size), ("R", m1, r2, sr, opener), ("X", what, closing, case, sl, size, inner, opener, kl, kr, inside), ("C", n1, case), ("K", closing, m1, kl, what), ("P", l2, case, size))
 
 
 @Kept
@@ -164,8 +213,8 @@ def numbers(group: tuple) -> tuple[int, ...]:
         m1, r2, sr, opener = x
         f = [f"r{m1}", f"rr{m1} {r2}", f"R{sr}", f"R{sr}|{opener}"]
     elif kind == "X":
-        what, closing, case, sl, size, inner, opener, kl, kr = x
-        f = [f"m{what}", f"m{what}|{closing}|{case}", f"c{closing}|{case}", f"L{sl}|{size}|{case}", f"i{inner}|{size}|{case}", f"x{what}|{case}|{sl[-1:]}", f"o{opener}|{case}", f"s{kl}{kr}"]
+        what, closing, case, sl, size, inner, opener, kl, kr, inside = x
+        f = [f"m{what}", f"m{what}|{closing}|{case}", f"c{closing}|{case}", f"L{sl}|{size}|{case}", f"i{inner}|{size}|{case}", f"x{what}|{case}|{sl[-1:]}", f"o{opener}|{case}", f"s{kl}{kr}", f"q{inside}"]
     elif kind == "C":
         f = [f"l{x[0]}|{x[1]}"]
     elif kind == "K":
@@ -176,17 +225,18 @@ def numbers(group: tuple) -> tuple[int, ...]:
     return tuple(zlib.crc32(i.encode()) & (DIMENSIONS - 1) for i in f)
 
 
-def features(*at, **kw) -> list[int]:
-    """Feature numbers of a candidate, see ``contexts``."""
-    return [i for g in contexts(*at, **kw) for i in numbers(g)]
+def features(*at, inside: bool = False, **kw) -> list[int]:
+    """Feature numbers of a candidate, see ``around``."""
+    return [i for g in contexts(*around(*at, **kw), inside) for i in numbers(g)]
 
 
-N_FEATURES = 20
+N_FEATURES = 21
 
 
 def candidates(text: str, a: int, b: int):
-    """``(mark start, end, next start, newline between, item)`` of the candidates in a paragraph, but for its end."""
-    closed = enclosed(text, a, b)
+    """``(mark start, end, next start, newline between, item, inside)`` of the candidates in a paragraph, but for its end."""
+    closed = enclosed(text, a, b) if ENCLOSING.search(text, a, b) else []
+    running = [runs_on(text, a, b, i, j) for i, j in closed]
     k = 0
     for m in CANDIDATE.finditer(text, a, b):
         start, end = m.span()
@@ -194,17 +244,18 @@ def candidates(text: str, a: int, b: int):
             right, end = end, start
         else:
             # a quote that opens the next sentence is not part of this one
-            while end > start and text[end - 1] in "\"'“" and any(s[0] == end - 1 for s in closed):
+            while closed and end > start and text[end - 1] in "\"'“" and any(s[0] == end - 1 for s in closed):
                 end -= 1
             right = end
             while right < b and text[right].isspace():
                 right += 1
         if right >= b:
             return
-        while k < len(closed) and closed[k][1] < end - 1:
-            k += 1
-        if k < len(closed) and closed[k][0] < end and closed[k][1] >= end:
-            continue
+        within = False
+        if closed:
+            while k < len(closed) and closed[k][1] < end - 1:
+                k += 1
+            within = k < len(closed) and closed[k][0] < end and closed[k][1] >= end and running[k]
         c, n = text[right], text[right + 1 : right + 2]
         if right == end and not text[start].isspace():
             # nothing between: only marks that need no white space, or a word that plainly begins
@@ -218,7 +269,7 @@ def candidates(text: str, a: int, b: int):
         elif c in ",;،，、；":
             continue
         newline = "\n" in text[end:right]
-        yield start, end, right, newline, bool(newline and NEXT_ITEM.match(text, right))
+        yield start, end, right, newline, newline and NEXT_ITEM.match(text, right) is not None, within
 
 
 def training_examples(text: str) -> list[tuple[int, list[int]]]:
@@ -226,10 +277,10 @@ def training_examples(text: str) -> list[tuple[int, list[int]]]:
     out = []
     spans = paragraphs(text)
     for k, (a, b) in enumerate(spans):
-        for start, end, right, newline, item in candidates(text, a, b):
+        for start, end, right, newline, item, inside in candidates(text, a, b):
             line = text[max(a, text.rfind("\n", a, start) + 1) : end]
             if not item and not ITEM.fullmatch(line):
-                out.append((0, features(text, a, start, end, right, b)))
+                out.append((0, features(text, a, start, end, right, b, inside=inside)))
         if k + 1 < len(spans):
             c, d = spans[k + 1]
             tail = re.search(rf"[{MARKS}]+[\"'”’»›)\]}}」』）】》〉“   ]*$", text[max(a, b - 12) : b])
@@ -262,6 +313,7 @@ def _prior() -> np.ndarray:
         w[zlib.crc32(f"l{_normal(a)}".encode()) & (DIMENSIONS - 1)] = -2.5
     for closing in ("", '"', "”", "»", ")", "」", "’", "“"):
         w[zlib.crc32(f"c{closing}|a".encode()) & (DIMENSIONS - 1)] = -3.0
+    w[zlib.crc32(b"qTrue") & (DIMENSIONS - 1)] = -6.0
     for mark in "。？！।።؟":
         w[zlib.crc32(f"m{mark}".encode()) & (DIMENSIONS - 1)] = 0.5
     return w
@@ -295,10 +347,10 @@ class BoundaryModel:
         out = []
         for a, b in paragraphs(text):
             since = a
-            for start, end, right, newline, item in candidates(text, a, b):
-                if ITEM.fullmatch(text[since:end]):
+            for start, end, right, newline, item, inside in candidates(text, a, b):
+                if end - since < 40 and ITEM.fullmatch(text[since:end]):
                     continue
-                if item or self.score(contexts(text, a, start, end, right, b)) > self.least:
+                if item and not inside or self.score(contexts(*around(text, a, start, end, right, b), inside)) > self.least:
                     out.append(end)
                     since = right
             out.append(b)
@@ -369,9 +421,12 @@ def sentence_ends(documents: DataFrame, model: BoundaryModel | None = None, doc:
     def run(batches):
         for b in batches:
             ids, starts, no, ends = [], [], [], []
+            known: dict[str, list[int]] = {}
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = 0
-                for k, e in enumerate(model.ends(t)):
+                if t not in known:
+                    known[t] = model.ends(t)
+                for k, e in enumerate(known[t]):
                     while at < e and t[at].isspace():
                         at += 1
                     ids.append(d)
