@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweft.functions.vectors import dot, norm
+from docweft.operators import blocks
 from docweft.session import ships
 
 # Instruction prefixes that models were trained with, query then passage.
@@ -20,8 +21,10 @@ PREFIXES = {
     "intfloat/e5": ("query: ", "passage: "),
     "BAAI/bge": ("Represent this sentence for searching relevant passages: ", ""),
 }
-#: Queries in one block of the matrix product; blocks bound what a task holds and what is broadcast.
-QUERY_BLOCK = 4096
+#: Numbers of the vectors in a block, so documents in a block times dimensions, and queries in one block.
+NUMBER_BLOCK, QUERY_BLOCK = 1 << 24, 1 << 13
+#: Queries multiplied at a time.
+STEP = 256
 
 
 class Encoder(Protocol):
@@ -120,46 +123,45 @@ def ranking(queries: DataFrame, vectors: DataFrame, depth: int, query: str = "qu
 
 
 def block_ranking(queries: DataFrame, vectors: DataFrame, depth: int, query: str = "query_id", doc: str = "chunk_pos", qvec: str = "qvec", vec: str = "vec",
-                  exclude: str | None = None, rank: str = "dense_place") -> DataFrame:
-    """``ranking`` with a matrix product per Arrow batch and a local best list per batch before the shuffle.
+                  exclude: str | None = None, rank: str = "dense_place", number_block: int = NUMBER_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``ranking`` by matrix products of a block of vectors and a block of queries, of which only each query's best list goes on.
 
-    The queries are read on the driver in blocks of at most ``QUERY_BLOCK``, ordered by id: that bound, not the
-    data, limits what is sent out; more blocks mean more passes over the vectors.
+    Null vectors on either side are left out.
     """
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kinds = {c: (queries.schema[c] if c == query else vectors.schema[c]).dataType.simpleString() for c in (query, doc)}
-    out = None
-    for k in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64(query), F.lit(n_blocks)) == k) if n_blocks > 1 else queries
-        rows = part.orderBy(query).collect()
-        if not rows:
-            continue
-        q = np.array([r[qvec] for r in rows], dtype=np.float64)
-        sent = queries.sparkSession.sparkContext.broadcast(([r[query] for r in rows], q, [r[exclude] if exclude else None for r in rows]))
-
-        def run(batches, sent=sent):
-            ids, q, banned = sent.value
-            for b in batches:
-                docs = b.column(0).to_pylist()
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                if not docs:
-                    continue
-                sim = np.round(v @ q.T, 6)
-                qi, di, s = [], [], []
-                for j in range(len(ids)):
-                    col = sim[:, j]
-                    keep = np.flatnonzero(col >= np.partition(col, -depth - 1)[-depth - 1]) if len(col) > depth + 1 else np.arange(len(col))
-                    for i in keep:
-                        if banned[j] is None or docs[i] != banned[j]:
-                            qi.append(ids[j]); di.append(docs[i]); s.append(float(col[i]))  # noqa: E702
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(di), pa.array(s, pa.float64())], names=[query, doc, "sim"])
-
-        best = vectors.select(doc, vec).where(F.col(vec).isNotNull()).mapInArrow(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, sim double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return ranking(queries, vectors, depth, query, doc, qvec, vec, exclude, rank)
-    w = W.partitionBy(query).orderBy(F.col("sim").desc(), F.col(doc))
-    return out.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= depth)
+    d = vectors.where(F.col(vec).isNotNull()).select(doc, vec)
+    q = queries.where(F.col(qvec).isNotNull()).select(query, qvec, (F.col(exclude) if exclude else F.lit(None)).cast(kinds[doc]).alias("__own"))
+    sizes = d.agg(F.ceil(F.sum(F.size(vec)) / F.lit(number_block)).alias("__db")).crossJoin(F.broadcast(q.agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).alias("__qb"))))
+    sizes = sizes.select(F.coalesce("__db", F.lit(1)).alias("__db"), "__qb")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(column), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [query, doc, "sim"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([right.column(query).slice(0, 0), left.column(doc).slice(0, 0), pa.array([], pa.float64())], names=names)
+        ids, at = blocks.ids_in_order(left.column(doc))
+        rows = matrix(left.column(vec))
+        v = np.zeros((len(ids), rows.shape[1]))
+        v[at] = rows
+        asked, own = matrix(right.column(qvec)), right.column("__own").to_pylist()
+        place = {x: i for i, x in enumerate(ids.to_pylist())} if any(x is not None for x in own) else {}
+        qs, ds, sims = [], [], []
+        for k in range(0, len(asked), STEP):
+            sim = np.round(asked[k : k + STEP] @ v.T, 6)
+            for n, row in enumerate(sim, k):
+                if own[n] in place:
+                    row[place[own[n]]] = np.nan
+                top = blocks.best(row, depth)
+                qs.append(np.full(len(top), n))
+                ds.append(top)
+                sims.append(row[top])
+        return pa.table([right.column(query).take(pa.array(np.concatenate(qs))), ids.take(pa.array(np.concatenate(ds))), pa.array(np.concatenate(sims))], names=names)
+
+    lists = blocks.paired(d, q, doc, query, sizes, run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, sim double")
+    return blocks.ranked(lists, depth, query, doc, "sim", rank)
 
 
 def unit_norm_gate(vectors: DataFrame, vec: str = "vec", tolerance: float = 1e-5) -> DataFrame:

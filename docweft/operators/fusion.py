@@ -45,11 +45,9 @@ def hybrid_search(queries: DataFrame, index: lexical.LexicalIndex, vectors: Data
     its words alone.  ``exclude`` names a query column with an id that is no candidate of that query and takes no
     place in a list.  Texts and other columns of ``chunks`` are joined last, to the few rows that are left.
     """
-    words = lexical.top(lexical.scores(index, lexical.query_terms(queries, query, question), doc, query), depth + bool(exclude), query, doc)
-    near = dense.block_ranking(queries.where(F.col("qvec").isNotNull()), vectors, depth, query, doc, exclude=exclude)
-    if exclude:
-        words = words.join(queries.select(query, exclude), query).where(F.col(exclude).isNull() | (F.col(exclude) != F.col(doc))).drop(exclude)
-        words = words.withColumn("bm25_rank", F.row_number().over(W.partitionBy(query).orderBy("bm25_rank"))).where(F.col("bm25_rank") <= depth)
+    own = queries.select(query, F.col(exclude).alias("own")) if exclude else None
+    words = lexical.ranking(index, lexical.query_terms(queries, query, question), depth, doc, query, own=own)
+    near = dense.block_ranking(queries, vectors, depth, query, doc, exclude=exclude)
     fused = fuse_two(words, near, query, doc, weights=weights).where(F.col("place") <= k + considered)
     slot = F.when(F.col("place") <= k, F.lit("hit")).otherwise(F.lit("considered"))
     return fused.withColumn("slot", slot).join(chunks, doc)

@@ -186,7 +186,7 @@ class ChunkIndex:
         self.check_encoder(encoder)
         index, chunks = self.lexical_index(), self.table("chunks").drop("batch")
         if encoder is None:
-            ranked = lexical.top(lexical.scores(index, lexical.query_terms(queries), "chunk_id"), fusion.CANDIDATE_DEPTH, doc="chunk_id")
+            ranked = lexical.ranking(index, lexical.query_terms(queries), fusion.CANDIDATE_DEPTH, "chunk_id")
             out = fusion.lexical_only(ranked, k + fusion.CONSIDERED).withColumn("place", F.col("bm25_rank"))
             return out.withColumn("slot", F.when(F.col("place") <= k, F.lit("hit")).otherwise(F.lit("considered"))).withColumn("dense_place", F.lit(None).cast("int")).join(chunks, "chunk_id")
         q = queries.join(dense.encode(queries, encoder, "query_id", "question", True).withColumnRenamed("vec", "qvec"), "query_id")

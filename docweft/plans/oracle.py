@@ -52,11 +52,10 @@ ds AS (SELECT query_id, chunk_pos, round(list_sum(list_transform(list_zip(CAST(q
        FROM dq, v WHERE dq.qnum <> v.chunk_pos),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_pos) AS dense_place FROM ds)"""
 
-_HYBRID = f"""{_C}, {_Q}, {_DENSE},
-hc AS (SELECT * FROM c WHERE chunk_pos IN (SELECT chunk_pos FROM v)),
-{_bm25('hc')},
-b50 AS (SELECT query_id, chunk_pos, row_number() OVER (PARTITION BY query_id ORDER BY bm25_rank) AS bm25_rank
-        FROM br JOIN dq USING (query_id) WHERE bm25_rank <= 50 AND qnum <> chunk_pos),
+_HYBRID = f"""{_C}, {_Q}, {_DENSE}, {_bm25()},
+own AS (SELECT query_id, qnum FROM dq),
+b50 AS (SELECT query_id, chunk_pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos) AS bm25_rank
+        FROM bs LEFT JOIN own USING (query_id) WHERE qnum IS NULL OR qnum <> chunk_pos QUALIFY bm25_rank <= 50),
 d50 AS (SELECT query_id, chunk_pos, dense_place FROM dr WHERE dense_place <= 50),
 fu AS (SELECT query_id, chunk_pos, bm25_rank, dense_place, coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + dense_place), 0) AS rrf_score
        FROM b50 FULL JOIN d50 USING (query_id, chunk_pos)),

@@ -165,6 +165,10 @@ def _bm25(spark, d):
     return lexical.scores(lexical.build(corpus(spark, d)), lexical.query_terms(questions(spark, d)))
 
 
+def _bm25_best(spark, d, depth):
+    return lexical.ranking(lexical.build(corpus(spark, d)), lexical.query_terms(questions(spark, d)), depth)
+
+
 @query
 def bm25_scores(spark, d):
     return _bm25(spark, d).select("query_id", "chunk_pos", "score")
@@ -172,7 +176,7 @@ def bm25_scores(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return lexical.top(_bm25(spark, d), 10).select("query_id", "chunk_pos", "score", "bm25_rank")
+    return _bm25_best(spark, d, 10).select("query_id", "chunk_pos", "score", "bm25_rank")
 
 
 @query
@@ -247,7 +251,7 @@ def search_hits_considered(spark, d):
 
 @query
 def bm25_only_fallback(spark, d):
-    r = fusion.lexical_only(lexical.top(_bm25(spark, d), fusion.CANDIDATE_DEPTH), 5)
+    r = fusion.lexical_only(_bm25_best(spark, d, fusion.CANDIDATE_DEPTH), 5)
     return r.select("query_id", "chunk_pos", "bm25_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
