@@ -32,10 +32,13 @@ STOP_WORDS = (
     "this", "from", "may", "will", "can", "any", "all", "not", "no", "if",
 )
 CANDIDATE_STOP_WORDS = ("the", "a", "an", "of", "to", "in", "is", "are", "for", "and", "or", "you", "we")
-FURNITURE = r"(?i)^\s*(page\s+\d+(\s+of\s+\d+)?|\d+\s*\|\s*page|\d+)\s*$"
-CLAUSE_NUMBER = r"^\s*(\d+(?:\.\d+)*)\.?\s+(?=\S)"
-SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z•●\-])"
-SPACES = r"(?U)\s+"
+# White space and digits are those of Unicode, and white space has the four separators below the blank.
+BLANK = r"[\s\x1c-\x1f]"
+FURNITURE = rf"(?Ui)^{BLANK}*(page{BLANK}+\d+({BLANK}+of{BLANK}+\d+)?|\d+{BLANK}*\|{BLANK}*page|\d+){BLANK}*$"
+CLAUSE_NUMBER = rf"(?U)^{BLANK}*(\d+(?:\.\d+)*)\.?{BLANK}+(?=[^\s\x1c-\x1f])"
+SENTENCE_GAP = rf"(?U)(?<=[.!?]){BLANK}+(?=[A-Z•●\-])"
+SPACES = rf"(?U){BLANK}+"
+ENDS = rf"(?U)^{BLANK}+|{BLANK}+$"
 CHARS_PER_TOKEN = 3.5
 
 
@@ -85,11 +88,11 @@ def clean_cell(cell: Column) -> Column:
 
 def is_numeric_token(tok: Column) -> Column:
     """At least one digit, and nothing but digits, separators, signs, per cent and brackets."""
-    return tok.rlike(r"\d") & tok.rlike(r"^[\d,.()%\-+]+$")
+    return tok.rlike(r"(?U)\d") & tok.rlike(r"(?U)^[\d,.()%\-+]+$")
 
 
 def is_data_value(cell: Column) -> Column:
-    return tokens_nonempty(cell) & cell.rlike(r"\d") & cell.rlike(r"^[\d,.()%\-+\s]+$")
+    return tokens_nonempty(cell) & cell.rlike(r"(?U)\d") & cell.rlike(r"(?U)^[\d,.()%\-+\s\x1c-\x1f]+$")
 
 
 def tokens_nonempty(cell: Column) -> Column:
@@ -117,7 +120,7 @@ def is_furniture(line: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Up to 80 characters and ten words, no closing mark; numbered, half capitalised, or a question."""
-    s = F.trim(line)
+    s = squeeze_ends(line)
     ws = blank_split(s)
     n = F.size(ws)
     caps = F.size(F.filter(ws, lambda w: (F.upper(F.substring(w, 1, 1)) == F.substring(w, 1, 1)) & (F.lower(F.substring(w, 1, 1)) != F.substring(w, 1, 1))))
@@ -132,7 +135,7 @@ def sentences(text: Column) -> Column:
 
 def paragraphs(text: Column, least: int = 15) -> Column:
     """Blocks between blank lines, blanks squeezed, shorter ones than ``least`` dropped."""
-    cut = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(F.regexp_replace(p, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
+    cut = F.transform(F.split(text, rf"(?U)\n{BLANK}*\n"), lambda p: F.regexp_replace(F.regexp_replace(p, "[ \t]+", " "), ENDS, ""))
     return F.filter(cut, lambda p: F.length(p) >= least)
 
 
@@ -180,4 +183,4 @@ def chunk_id(sha256: Column, ordinal: Column) -> Column:
 
 def squeeze_ends(text: Column) -> Column:
     """No white space at the ends; inside it stays as it is."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, ENDS, "")

@@ -10,7 +10,7 @@ from docweft.functions import text as T
 
 BUDGET = 400
 # Fixed value: what counts as an inline section marker, a number of one or two digits and a capitalised title.
-SECTION = r"(?<![\d.])(\d{1,2})\.\s+([A-Z][a-z]+(?:\s+[A-Za-z]+){0,5}?)(?=\s+[A-Z]|\s*$)"
+SECTION = rf"(?U)(?<![\d.])(\d{{1,2}})\.{T.BLANK}+([A-Z][a-z]+(?:{T.BLANK}+[A-Za-z]+){{0,5}}?)(?={T.BLANK}+[A-Z]|{T.BLANK}*$)"
 SECTION_CUT = rf"(?={SECTION})"
 
 
@@ -66,10 +66,10 @@ def sections(streams: DataFrame, doc: str = "doc", stream: str = "stream", title
     own = F.when(F.col("seg_no") == 0, F.regexp_extract(F.col(stream), f"^{SECTION}", 0)).otherwise(F.regexp_extract(F.concat(seg, F.lit(" X")), f"^{SECTION}", 0))
     marked = F.length(own) > 0
     return rows.select(
-        doc, "seg_no", F.when(marked, F.trim(own)).otherwise(F.col("__title")).alias("heading"),
+        doc, "seg_no", F.when(marked, T.squeeze_ends(own)).otherwise(F.col("__title")).alias("heading"),
         F.when(marked, T.squeeze_ends(F.substring(seg, F.length(own) + 1, F.length(seg)))).otherwise(seg).alias("body"),
         F.col("__z.start").cast("int").alias("seg_start"),
-    ).where(F.length(F.trim("body")) > 0)
+    ).where(F.length(T.squeeze_ends(F.col("body"))) > 0)
 
 
 def pack_sentences(segments: DataFrame, head: str = "heading", body: str = "body", budget: int = BUDGET, out: str = "chunks") -> DataFrame:

@@ -14,11 +14,11 @@ from docweft.functions import text as T
 # Thresholds and signatures the gates are defined by.
 DIGIT_WALL = 0.35
 DOT_SHARE = 0.30
-DOT_LEADER = r"(?:\.\s*){4,}"
-TOC_LINE = r"^\s*\d+(?:\.\d+)*\s+\S[^|]*?\s+\d+\s*$"
-PLACEHOLDER_HEADER = r"\bcol\d+\s*:"
-STRANDED_SUFFIX = r":\s*(?:ted|ing|tion|ed|ly|ment|ness)\b"
-TORN_DECIMAL = r"\|\s*\.\d"
+DOT_LEADER = rf"(?U)(?:\.{T.BLANK}*){{4,}}"
+TOC_LINE = rf"(?U)^{T.BLANK}*\d+(?:\.\d+)*{T.BLANK}+[^\s\x1c-\x1f][^|]*?{T.BLANK}+\d+{T.BLANK}*$"
+PLACEHOLDER_HEADER = rf"(?U)\bcol\d+{T.BLANK}*:"
+STRANDED_SUFFIX = rf"(?U):{T.BLANK}*(?:ted|ing|tion|ed|ly|ment|ness)\b"
+TORN_DECIMAL = rf"(?U)\|{T.BLANK}*\.\d"
 
 
 class GateError(RuntimeError):
@@ -30,7 +30,7 @@ def is_front_matter(text: Column) -> Column:
     toks = T.blank_split(text)
     dots = F.size(F.filter(toks, lambda t: t.rlike(r"^\.+$")))
     leaders = F.filter(F.split(text, "\n"), lambda l: l.rlike(DOT_LEADER))
-    shaped = F.filter(leaders, lambda l: F.trim(F.regexp_replace(l, DOT_LEADER, " ")).rlike(TOC_LINE))
+    shaped = F.filter(leaders, lambda l: T.squeeze_ends(F.regexp_replace(l, DOT_LEADER, " ")).rlike(TOC_LINE))
     return (F.size(toks) > 0) & ((dots / F.greatest(F.lit(1), F.size(toks)) >= F.lit(DOT_SHARE)) | ((F.size(leaders) > 0) & (F.size(shaped) * 2 >= F.size(leaders))))
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from docweft.functions import text as T
 
-_WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_W0 = _WS[:-1] + "*"
 _TOKEN = r"[a-z]+\d+|\d[\d,\.]*|[a-z]+"
 
 _C = "c AS (SELECT DISTINCT * FROM chunks WHERE chunk_pos IS NOT NULL)"
@@ -96,11 +97,11 @@ fk AS (SELECT h.head, qa.query_id, first_rank FROM qa, (VALUES (10), (15), (20))
 b0 AS (SELECT query_id, min(place) AS first_rank FROM fr JOIN g USING (query_id, chunk_pos) GROUP BY 1),
 ba AS (SELECT qa.query_id, first_rank FROM qa LEFT JOIN b0 USING (query_id))"""
 
-_FURNITURE = r"(?i)^\s*(page\s+\d+(\s+of\s+\d+)?|\d+\s*\|\s*page|\d+)\s*$"
+_FURNITURE = rf"(?i)^{_W0}(page{_WS}\pN+({_WS}of{_WS}\pN+)?|\pN+{_W0}\|{_W0}page|\pN+){_W0}$".replace("\\pN", "\\p{Nd}")
 _DOCLINES = "dlines AS (SELECT doc_id, i - 1 AS line_no, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)))"
 _TRIM = rf"regexp_replace(%s, '^{_WS}|{_WS}$', '', 'g')"
 _STREAM = f"{_DOCLINES}, cl AS (SELECT * FROM (SELECT doc_id, line_no, {_TRIM % 'line'} AS line FROM dlines) WHERE length(line) > 0 AND NOT regexp_matches(line, '{_FURNITURE}')), sm AS (SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) AS stream FROM cl GROUP BY 1)"
-_SPLIT = r"string_split(regexp_replace(%s, '([.!?])\s+([A-Z•●\-])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+_SPLIT = rf"string_split(regexp_replace(%s, '([.!?]){_WS}([A-Z•●\-])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 _PACK = f"""{_STREAM},
 ss AS (SELECT doc_id, stream, list_filter({_SPLIT % 'stream'}, lambda s: length(s) > 0) AS sents FROM sm),
 pk AS (SELECT doc_id, stream, list_reduce(list_transform(sents, lambda s: [s]), lambda acc, x: CASE
@@ -184,12 +185,12 @@ ORACLE_SQL = {
     "digit_density": f"WITH {_C} SELECT chunk_pos, CASE WHEN text IS NOT NULL THEN round({_density('text')}, 6) ELSE 0.0 END AS density FROM c",
     "furniture_filter": f"WITH {_DOCLINES} SELECT * FROM dlines WHERE regexp_matches(line, '{_FURNITURE}')",
     "heading_predicate": rf"""WITH {_C},
-ln AS (SELECT chunk_pos, i - 1 AS line_no, s[i] AS line, trim(s[i]) AS t FROM (SELECT chunk_pos, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT chunk_pos, string_split(text, chr(10)) AS s FROM c WHERE text IS NOT NULL))),
+ln AS (SELECT chunk_pos, i - 1 AS line_no, s[i] AS line, {_TRIM % 's[i]'} AS t FROM (SELECT chunk_pos, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT chunk_pos, string_split(text, chr(10)) AS s FROM c WHERE text IS NOT NULL))),
 w AS (SELECT *, {_UTOK.replace('%s', 't')} AS ws FROM ln)
 SELECT chunk_pos, line_no, line FROM w WHERE length(t) BETWEEN 1 AND 80 AND NOT regexp_matches(t, '[.;,:]$') AND len(ws) BETWEEN 1 AND 10
-  AND (regexp_matches(t, '^\s*(\d+(?:\.\d+)*)\.?\s+\S') OR t LIKE '%?' OR len(list_filter(ws, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) >= greatest(1, len(ws) // 2))""",
+  AND (regexp_matches(t, '^{_W0}(\p{{Nd}}+(?:\.\p{{Nd}}+)*)\.?{_WS}[^\s]') OR t LIKE '%?' OR len(list_filter(ws, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) >= greatest(1, len(ws) // 2))""",
     "sentence_split": f"WITH {_C}, s AS (SELECT chunk_pos, {_SPLIT % 'text'} AS x FROM c WHERE text IS NOT NULL) SELECT chunk_pos, i - 1 AS sent_no, x[i] AS sentence FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)",
-    "paragraph_split": rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: {_TRIM % "regexp_replace(regexp_replace(p, '[ ' || chr(9) || ']+', ' ', 'g'), 'a^', '')"}), lambda p: length(p) >= 15) AS x FROM documents WHERE text IS NOT NULL)
+    "paragraph_split": rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n{_W0}\n'), lambda p: {_TRIM % "regexp_replace(regexp_replace(p, '[ ' || chr(9) || ']+', ' ', 'g'), 'a^', '')"}), lambda p: length(p) >= 15) AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, i - 1 AS par_no, x[i] AS paragraph FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)""",
     "heading_body_split": f"WITH {_C} SELECT chunk_pos, string_split(text, chr(10))[1] AS heading, CASE WHEN text IS NULL OR instr(text, chr(10)) = 0 THEN '' ELSE substr(text, instr(text, chr(10)) + 1) END AS body FROM c",
     "snippets": rf"WITH {_C}, f AS (SELECT chunk_pos, text, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM c) SELECT chunk_pos, CASE WHEN length(t) > 70 THEN substr(t, 1, 70) || '…' ELSE t END AS snippet, CAST(floor(length(text) / 3.5) + 1 AS INT) AS n_tokens FROM f",
