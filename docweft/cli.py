@@ -43,8 +43,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         q = spark.createDataFrame([("q", args.question)], "query_id string, question string")
         row = engine.answers(q, args.k).first()
         print(row["answer"])
-        print("no answer in the documents" if row["abstained"] else "sources: " + "; ".join(row["sources"] or []))
+        if row["abstained"]:
+            print("no answer in the documents; nearest: " + ("; ".join(row["near_misses"] or []) or "nothing"))
+        else:
+            print("sources: " + "; ".join(row["sources"] or []))
         if args.verbose:
+            print(f"{row['seconds']:.2f} s" + (f", {row['tokens_per_second']} tokens/s" if row["tokens_per_second"] is not None else ""))
             engine.search(q, args.k).select("place", "slot", "bm25_rank", "dense_place", "rrf_score", "filename", "page").orderBy("place").show()
         return 0
     except EmptyIndex as e:

@@ -75,11 +75,23 @@ class Engine:
         return index.search(questions, k, self.encoder)
 
     def answers(self, questions: DataFrame, k: int = 3) -> DataFrame:
-        """``query_id, answer, abstained, sources`` of a batch of ``query_id, question``."""
-        hits = self.search(questions, k).where("slot = 'hit'")
+        """``query_id, answer, abstained, sources, near_misses, seconds, tokens_per_second`` of a batch of ``query_id, question``.
+
+        An answer names its sources; one that abstains names the passages that came nearest instead, hits first."""
+        found = self.search(questions, k)
+        hits = found.where("slot = 'hit'")
         context = grading.contexts(hits.withColumn("rank", F.col("place")))
         system, user = grading.PROMPTS["grounded"]
         prompts = questions.join(context, "query_id", "left").select("query_id", F.lit(system).alias("system"), grading.fill(user, context=F.col("context"), question=F.col("question")).alias("user"))
         said = complete_all(prompts, self.make_client, "query_id")
-        sources = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "filename", "page"))), lambda s: F.concat(s["filename"], F.lit(" p"), F.coalesce(s["page"].cast("string"), F.lit("?")))).alias("sources"))
-        return said.join(sources, "query_id", "left").select("query_id", F.col("reply").alias("answer"), grading.abstained_prefix(F.col("reply")).alias("abstained"), F.array_distinct("sources").alias("sources"))
+        where = F.concat("filename", F.lit(" p"), F.coalesce(F.col("page").cast("string"), F.lit("?")))
+        near = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", where.alias("w"), "slot"))), lambda s: F.struct(s["w"], s["slot"])))
+        places = found.groupBy("query_id").agg(near.alias("near"))
+        abstained = grading.abstained_prefix(F.col("reply"))
+        named = lambda keep: F.array_distinct(F.transform(F.filter("near", keep), lambda s: s["w"]))
+        return said.join(places, "query_id", "left").select(
+            "query_id", F.col("reply").alias("answer"), abstained.alias("abstained"), F.when(~abstained, named(lambda s: s["slot"] == "hit")).alias("sources"),
+            F.when(abstained, named(lambda s: F.lit(True))).alias("near_misses"), "seconds", grading.tokens_per_second(F.col("n_tokens"), F.col("ns")).alias("tokens_per_second"))
+
+    def judged(self, answers: DataFrame, make_client: Callable[[], Client], key: str = "answer_id") -> DataFrame:
+        return grading.judge(answers, make_client, key)

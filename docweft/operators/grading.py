@@ -72,6 +72,16 @@ def parse_judge(raw: Column) -> Column:
     return F.when(got.isNull() | (got["verdict"].isNull() & got["evidence"].isNull() & got["reason"].isNull()), bad).otherwise(got)
 
 
+def judge(answers: DataFrame, make_client, key: str = "answer_id", context: str = "context", question: str = "question", answer: str = "answer") -> DataFrame:
+    """``key, b_verdict, b_evidence, b_reason``: a model's verdict on every answer, asked on the executors; unreadable replies are PARSE_ERROR."""
+    from docweft.sources.models import complete_all
+
+    system, user = PROMPTS["judge"]
+    asked = answers.select(key, F.lit(system).alias("system"), fill(user, context=F.col(context), question=F.col(question), answer=F.col(answer)).alias("user"))
+    got = parse_judge(F.col("reply"))
+    return complete_all(asked, make_client, key).select(key, got["verdict"].alias("b_verdict"), got["evidence"].alias("b_evidence"), got["reason"].alias("b_reason"))
+
+
 def a_binary(verdict: Column) -> Column:
     return F.when(verdict == "PASS", F.lit("PASS")).when(verdict == "WEAK", F.lit("REVIEW")).otherwise(F.lit("FAIL"))
 

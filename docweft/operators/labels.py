@@ -109,6 +109,24 @@ def label_review(questions: DataFrame, chunks: DataFrame, key: str = "id", answe
     return absent.unionByName(other)
 
 
+# What a probe that must be declined carries.
+PROBE = {"stratum": "unanswerable", "answer": "NOT_IN_CORPUS", "label_status": "single_annotator_unverified"}
+
+
+def abstention_probes(asked: DataFrame, chunks: DataFrame, origin: str, question: str = "question", why: str = "why_absent", telling: str = "telling", doc: str = "chunk_pos", text: str = "text") -> DataFrame:
+    """Question records that no chunk answers: ``id, question, answer, stratum, gold_chunks`` (empty)``, origin, label_status, why_absent``.
+
+    ``telling`` lists the words an answer would have to have; a question whose words all stand in one chunk is left out, since it may be
+    answered there.  Null or empty lists prove nothing and are left out too.  Ids number the probes by question.
+    """
+    want = asked.where((F.size(telling) > 0) & F.col(question).isNotNull()).select(question, why, F.array_distinct(F.transform(telling, lambda w: F.lower(w))).alias("__w")).distinct()
+    have = chunks.where(F.col(text).isNotNull()).select(doc, F.explode(F.array_distinct(T.words(F.col(text)))).alias("__t"))
+    met = want.select(question, F.size("__w").alias("__n"), F.explode("__w").alias("__t")).join(have, "__t").groupBy(question, "__n", doc).agg(F.count(F.lit(1)).alias("k")).where("k = __n").select(question).distinct()
+    kept = want.join(met, question, "left_anti")
+    no = F.row_number().over(W.orderBy(question))  # probes are written by people: few
+    return kept.select(F.format_string("U%02d", no).alias("id"), question, *[F.lit(v).alias(k) for k, v in PROBE.items()], F.array().cast("array<bigint>").alias("gold_chunks"), F.lit(origin).alias("origin"), why)
+
+
 def pending(work: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What a resumed run still has to do."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -7,6 +7,7 @@ their result; those are also tested on literal rows.
 from __future__ import annotations
 
 from docweft.functions import text as T
+from docweft.plans.queries import SAMPLES
 
 _WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _W0 = _WS[:-1] + "*"
@@ -178,6 +179,13 @@ _STATS = "count({v}) AS n, round(avg({v}), 2) AS mean, round(median({v}), 2) AS
 _PAGES = """pl AS (SELECT doc, coalesce(page, 0) AS page, chunk_pos AS line_no, text AS line FROM c WHERE doc IS NOT NULL AND text IS NOT NULL),
 lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start FROM pl)"""
 
+def _quoted(x: str) -> str:
+    return " || chr(10) || ".join(f"'{p}'" for p in x.split("\n"))
+
+
+_SAMPLES = "(VALUES " + ", ".join(f"({k}, {_quoted(x)})" for k, x in SAMPLES) + ") AS sa(key, text)"
+_C0 = f"c AS (SELECT DISTINCT chunk_pos, text FROM chunks WHERE chunk_pos IS NOT NULL UNION ALL SELECT * FROM {_SAMPLES})"
+
 ORACLE_SQL = {
     "tokenize_terms": f"WITH {_C}, {_postings(aliases=False)} SELECT chunk_pos, term, tf, dl FROM p JOIN dl USING (chunk_pos)",
     "tokenize_alias_expand": f"WITH {_C}, {_postings()} SELECT chunk_pos, term, tf, dl FROM p JOIN dl USING (chunk_pos)",
@@ -255,19 +263,21 @@ SELECT source, never_worse, delta_recall_at_1, delta_recall_at_5, delta_mrr FROM
     "serialise_labelled_stub": r"SELECT p_brand, string_agg(trim(regexp_replace(p_name, '\s+', ' ', 'g')) || ' | Size: ' || p_size || ' | Type: ' || trim(regexp_replace(p_type, '\s+', ' ', 'g')), chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1",
     "render_pipe_table": f"WITH {_NATION} SELECT r_name, '| col0 | Key number | Note | Size units |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |  | ' || n_nationkey * 1000 || ' |', chr(10) ORDER BY n_nationkey) AS text FROM n GROUP BY 1",
     "real_table_filter": f"WITH {_NATION} SELECT r_name, (4 + 1 + count(*) * 3) >= 0.4 * (12 + count(*) * 4) AS is_real, false AS header_is_real FROM n GROUP BY 1",
-    "front_matter": f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {_FRONT}",
-    "orphan_digit_wall": "SELECT o_orderkey AS key FROM orders WHERE o_orderstatus <> 'O' OR o_orderstatus IS NULL",
-    "garbled_labels": f"WITH {_C}, {_GATED} SELECT chunk_pos FROM gs WHERE garbled",
-    "ambiguous_headers": f"WITH {_C}, {_GATED} SELECT chunk_pos FROM gs WHERE ambiguous",
+    "front_matter": f"SELECT key AS doc_id FROM (SELECT doc_id AS key, text FROM documents UNION ALL SELECT * FROM {_SAMPLES}) WHERE text IS NOT NULL AND {_FRONT}",
+    "orphan_digit_wall": f"""WITH c AS (SELECT o_orderkey AS chunk_pos, concat_ws(' ', 'order', o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'status:' ELSE 'open' END) AS text FROM orders
+  UNION ALL SELECT * FROM {_SAMPLES}), {_GATED} SELECT chunk_pos AS key FROM gs WHERE orphan""",
+    "garbled_labels": f"WITH {_C0}, {_GATED} SELECT chunk_pos FROM gs WHERE garbled",
+    "ambiguous_headers": f"WITH {_C0}, {_GATED} SELECT chunk_pos FROM gs WHERE ambiguous",
     "gate_flags": f"WITH {_C}, {_GATED} SELECT chunk_pos, CASE WHEN orphan THEN 'orphan' WHEN garbled THEN 'garbled' WHEN ambiguous THEN 'ambiguous' ELSE '' END AS gate FROM gs WHERE text IS NOT NULL",
     "gate_report": f"WITH {_C}, {_GATED} SELECT doc, count(*) AS n_blocks, count(*) FILTER (kind = 'table') AS n_tables, count(*) FILTER (text IS NOT NULL AND front) AS n_front_matter, count(*) FILTER (orphan) AS n_orphan, count(*) FILTER (garbled) AS n_garbled, count(*) FILTER (ambiguous) AS n_ambiguous, count(*) FILTER (kind = 'table') = 0 AS no_tables FROM gs GROUP BY 1",
-    "gold_smear_gate": f"WITH {_Q}, {_C} SELECT query_id FROM q WHERE len(gold_chunks) > greatest(3, (SELECT count(*) FROM c) // 5)",
+    "gold_smear_gate": f"WITH {_Q}, {_C}, n AS (SELECT count(*) AS n FROM c), s AS (SELECT query_id, len(gold_chunks) AS k FROM q UNION ALL SELECT 'smeared', 4 + n // 4 FROM n) SELECT query_id FROM s, n WHERE k > greatest(3, n // 5)",
     "gold_missing_gate": f"WITH {_Q}, {_C}, {_GOLD} SELECT query_id, chunk_pos AS gold FROM g WHERE chunk_pos NOT IN (SELECT chunk_pos FROM c WHERE kind = 'clause')",
     "unique_id_gate": f"WITH {_XC} SELECT count(*) AS n_rows, count(DISTINCT chunk_id) AS n_ids FROM xc",
     "verbatim_label": f"WITH {_SPANS} SELECT query_id, span, unnest(chunks) AS chunk_pos FROM vb",
     "anchor_label": f"WITH {_SPANS} SELECT query_id, anchor, unnest(chunks) AS chunk_pos FROM ab",
     "autolabel_tiers": f"WITH {_SPANS} SELECT q.query_id, CASE WHEN span IS NOT NULL THEN 'VERBATIM' WHEN anchor IS NOT NULL THEN 'ANCHOR' ELSE 'ABSTAIN' END AS tier, coalesce(span, anchor, '') AS matched FROM q LEFT JOIN vb ON vb.query_id = q.query_id LEFT JOIN ab ON ab.query_id = q.query_id",
-    "label_review": f"""WITH {_C}, {_Q}, {_GOLD}, qs AS (SELECT q.*, evidence.matched_span AS span FROM q WHERE query_id IN (SELECT query_id FROM g)),
+    "label_review": f"""WITH {_C}, {_Q.replace('q AS (', 'q0 AS (')}, q AS (SELECT query_id, answer, gold_chunks, evidence.matched_span AS ms FROM q0
+  UNION ALL SELECT 'moved ' || query_id, answer, list_transform(gold_chunks, lambda x: x + 1), CASE WHEN qnum % 2 = 0 THEN evidence.matched_span END FROM q0), {_GOLD}, qs AS (SELECT q.*, ms AS span FROM q WHERE query_id IN (SELECT query_id FROM g)),
 ok AS (SELECT DISTINCT g.query_id FROM g JOIN c USING (chunk_pos) JOIN qs USING (query_id) WHERE length(span) > 0 AND contains({_NW % 'c.text'}, {_NW % 'span'})),
 tk AS (SELECT DISTINCT chunk_pos, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM c),
 cm AS (SELECT tok FROM tk GROUP BY 1 HAVING count(*) > greatest(3, floor((SELECT count(*) FROM c) * 0.3))),
@@ -285,6 +295,9 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_
     "layer_a_verdict": f"WITH {_LAYER} SELECT answer_id, a_verdict, a_abstained, round(a_ratio, 4) AS a_ratio FROM la",
     "abstention_variants": f"WITH {_A} SELECT answer_id, starts_with({_TRIM % 'answer'}, 'NOT_IN_DOCUMENTS') AS prefix, contains(lower(answer), 'not_in_documents') AS anywhere, contains(lower(answer), 'not_in_documents') AND length(answer) - 16 > 25 AS laundered FROM a WHERE answer IS NOT NULL",
     "parse_judge": f"WITH {_JUDGED} SELECT answer_id, b_verdict FROM jd",
+    "judge_verdicts": f"""WITH {_A}, {_C}, g AS (SELECT answer_id, unnest(gold_chunks) AS chunk_pos, unnest(range(1, len(gold_chunks) + 1)) AS i FROM a),
+x AS (SELECT answer_id, string_agg('[' || n || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY n) AS ctx FROM (SELECT answer_id, text, row_number() OVER (PARTITION BY answer_id ORDER BY i) AS n FROM g JOIN c USING (chunk_pos)) GROUP BY 1)
+SELECT answer_id, CASE WHEN coalesce(answer, '') = '' THEN 'PARSE_ERROR' WHEN ctx IS NULL THEN 'CORRECT_ABSTENTION' WHEN contains(lower(ctx), lower(answer)) THEN 'FAITHFUL' ELSE 'UNFAITHFUL' END AS b_verdict FROM a LEFT JOIN x USING (answer_id)""",
     "judge_reconcile": f"WITH {_JUDGED} SELECT answer_id, a_bin, b_bin, agree, needs_review FROM rv",
     "agreement_report": f"""WITH {_JUDGED} SELECT count(*) AS n, count(*) FILTER (NOT none) AS n_answerable, round(avg(agree::INT), 6) AS agreement, count(*) FILTER (needs_review) AS n_review,
   {", ".join(f"round(avg((a_bin = '{x}')::INT) FILTER (NOT none), 6) AS a_{x.lower()}" for x in ("PASS", "FAIL", "REVIEW"))}, count(*) FILTER (none AND a_verdict = 'PASS') AS probes_right FROM rv""",

@@ -7,13 +7,12 @@ the whole corpus for every question; what has no vector enters by its words alon
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.durable import ensure_checkpoint_dir
+from docweft.durable import scratch
 from docweft.functions import text as T
 from docweft.functions import vectors as V
 from docweft.operators import chunking, dense, evaluation, fusion, gates, grading, labels, lexical, tables
@@ -166,7 +165,7 @@ def _bm25(spark, d):
 
 
 def _bm25_best(spark, d, depth):
-    return lexical.ranking(lexical.build(corpus(spark, d)), lexical.query_terms(questions(spark, d)), depth)
+    return lexical.ranking(lexical.build(corpus(spark, d), keep=True), lexical.query_terms(questions(spark, d)), depth)
 
 
 @query
@@ -236,7 +235,7 @@ def rrf_two_lists(spark, d):
 def _hybrid(spark, d):
     c = corpus(spark, d)
     q = questions(spark, d).join(asked(spark, d).select("query_id", F.col("qnum").alias("own"), "qvec"), "query_id", "left")
-    return fusion.hybrid_search(q, lexical.build(c), vectors(spark, d), c.select("chunk_pos", "doc", "page"), exclude="own")
+    return fusion.hybrid_search(q, lexical.build(c, keep=True), vectors(spark, d), c.select("chunk_pos", "doc", "page"), exclude="own")
 
 
 @query
@@ -429,9 +428,12 @@ def stable_chunk_ids(spark, d):
 def document_row_ranges(spark, d):
     from pyspark.sql import Window as W
 
-    n = extracted(spark, d).select("sha256", F.size("chunks").alias("n_chunks"))
-    w = W.orderBy("sha256").rowsBetween(W.unboundedPreceding, -1)
-    return n.withColumn("first_row", F.coalesce(F.sum("n_chunks").over(w), F.lit(0))).select("sha256", "n_chunks", "first_row", (F.col("first_row") + F.col("n_chunks")).alias("end_row"))
+    # two levels: the documents whose hashes begin alike, and the at most 4096 such beginnings
+    n = extracted(spark, d).select("sha256", F.size("chunks").alias("n_chunks"), F.substring("sha256", 1, 3).alias("start"))
+    before = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    starts = n.groupBy("start").agg(F.sum("n_chunks").alias("rows")).withColumn("ahead", F.coalesce(F.sum("rows").over(before(F.lit(0), "start")), F.lit(0))).drop("rows")
+    inside = n.withColumn("within", F.coalesce(F.sum("n_chunks").over(before("start", "sha256")), F.lit(0))).join(F.broadcast(starts), "start")
+    return inside.withColumn("first_row", F.col("ahead") + F.col("within")).select("sha256", "n_chunks", "first_row", (F.col("first_row") + F.col("n_chunks")).alias("end_row"))
 
 
 # --- tables
@@ -497,26 +499,43 @@ def outside_boxes(spark, d):
 # --- gates
 
 
+#: Texts that gates must and must not fire on, since the tables hold few of them: (number, text).
+SAMPLES = [
+    (-1, "1.1 Returns . . . . . . . . . . 4\n1.2 Fees and charges . . . . . . 9"), (-2, "List of maps\n3.4 Yards of the north ........ 17"), (-3, ". . . . . 12"), (-4, "Fees.... see below, as they are due on Monday"),
+    (-5, "Returned goods 4,120 3,998 12.5% 880 912 7.1%\nSold goods 9,411 8,207 14.7% 1,204 1,180 2.0%"), (-6, "Returned goods | May: 4,120 | June: 3,998 | Change: 12.5%"), (-7, "Sales rose by 14.7% because lamps sold well."),
+    (-8, "12 lamps | col1: paid 30 units paid 28 units"), (-9, "Costs went up Freigh 40.5 | .3 units: ted"), (-10, "Board members | a Lamps sold.: a Fees rose."), (-11, "Lamp\u00a0shades | Unit:\u00a04 | Unit: 5"), (-12, "Lamp shades | Unit May: 4 | Unit June: 5"),
+]
+
+
+def _samples(spark):
+    return spark.createDataFrame(SAMPLES, "key bigint, text string")
+
+
 @query
 def front_matter(spark, d):
-    return table(spark, d, "documents").where(gates.is_front_matter(F.col("text"))).select("doc_id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").unionByName(_samples(spark))
+    return texts.where(gates.is_front_matter(F.col("text"))).select(F.col("key").alias("doc_id"))
 
 
 @query
 def orphan_digit_wall(spark, d):
-    # the figures of a table without their labels, next to the texts themselves
+    # the figures of a table without their labels, next to samples
     walls = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat_ws(" ", F.lit("order"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderstatus") == "O", F.lit("status:")).otherwise(F.lit("open"))).alias("text"))
-    return walls.where(gates.is_orphan_digit_wall(F.col("text"))).select("key")
+    return walls.unionByName(_samples(spark)).where(gates.is_orphan_digit_wall(F.col("text"))).select("key")
+
+
+def _chunks_and_samples(spark, d):
+    return corpus(spark, d).select("chunk_pos", "text").unionByName(_samples(spark).withColumnRenamed("key", "chunk_pos"))
 
 
 @query
 def garbled_labels(spark, d):
-    return corpus(spark, d).where(gates.is_garbled(F.col("text"))).select("chunk_pos")
+    return _chunks_and_samples(spark, d).where(gates.is_garbled(F.col("text"))).select("chunk_pos")
 
 
 @query
 def ambiguous_headers(spark, d):
-    return corpus(spark, d).where(gates.has_ambiguous_headers(F.col("text"))).select("chunk_pos")
+    return _chunks_and_samples(spark, d).where(gates.has_ambiguous_headers(F.col("text"))).select("chunk_pos")
 
 
 @query
@@ -531,8 +550,11 @@ def gate_report(spark, d):
 
 @query
 def gold_smear_gate(spark, d):
+    # one question's gold list is smeared over a fourth of the corpus
     n = corpus(spark, d).count()
-    return gates.gold_smear(questions(spark, d), n).select("query_id")
+    q = questions(spark, d).select("query_id", "gold_chunks")
+    smeared = spark.range(1).select(F.lit("smeared").alias("query_id"), F.sequence(F.lit(0), F.lit(3 + n // 4)).cast("array<bigint>").alias("gold_chunks"))
+    return gates.gold_smear(q.unionByName(smeared), n).select("query_id")
 
 
 @query
@@ -568,8 +590,10 @@ def autolabel_tiers(spark, d):
 
 @query
 def label_review(spark, d):
-    q = questions(spark, d).withColumn("matched_span", F.col("evidence.matched_span"))
-    return labels.label_review(q, corpus(spark, d), "query_id")
+    # next to the labels as they are, each with its gold list moved on by one chunk, half of those without their claimed span
+    q = questions(spark, d).select("query_id", "answer", "gold_chunks", "qnum", F.col("evidence.matched_span").alias("matched_span"))
+    moved = q.select(F.concat(F.lit("moved "), "query_id").alias("query_id"), "answer", F.transform("gold_chunks", lambda x: x + 1).alias("gold_chunks"), "qnum", F.when(F.col("qnum") % 2 == 0, F.col("matched_span")).alias("matched_span"))
+    return labels.label_review(q.unionByName(moved), corpus(spark, d), "query_id")
 
 
 @query
@@ -614,6 +638,24 @@ def parse_judge(spark, d):
     return _judged(spark, d).select("answer_id", "b_verdict")
 
 
+class ContainmentJudge:
+    """A stand-in for a judging model: an answer is faithful if it stands in the passages as it is."""
+
+    def complete(self, system: str, user: str) -> str:
+        passages, _, rest = user.partition("\n\nQuestion: ")
+        answer = rest.partition("\n\nAnswer: ")[2]
+        verdict = "CORRECT_ABSTENTION" if not passages.removeprefix("Passages:\n") else "FAITHFUL" if answer.lower() in passages.lower() else "UNFAITHFUL"
+        return f'It is so: {{"verdict": "{verdict}", "evidence": "", "reason": "containment"}}' if answer else "There is nothing to judge."
+
+
+@query
+def judge_verdicts(spark, d):
+    a = answers(spark, d).select("answer_id", "question", "answer", "gold_chunks")
+    gold = a.select("answer_id", F.posexplode("gold_chunks").alias("rank", "chunk_pos")).join(corpus(spark, d).select("chunk_pos", "text"), "chunk_pos")
+    asked_ = a.join(grading.contexts(gold.withColumnRenamed("answer_id", "query_id")).withColumnRenamed("query_id", "answer_id"), "answer_id", "left")
+    return grading.judge(asked_, ContainmentJudge).select("answer_id", "b_verdict")
+
+
 @query
 def judge_reconcile(spark, d):
     return grading.reconcile(_judged(spark, d)).select("answer_id", "a_bin", "b_bin", "agree", "needs_review")
@@ -736,15 +778,11 @@ def token_set_ops(spark, d):
 # --- index and streams: written to the shared folder and read again
 
 
-def _scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/docweft-{uuid.uuid4().hex}"
-
-
 @query
 def index_append_idempotent(spark, d):
     """Documents appended in two overlapping parts: what the index then holds."""
     docs = table(spark, d, "extracted_docs")
-    index = ChunkIndex.open(spark, _scratch(spark))
+    index = ChunkIndex.open(spark, scratch(spark))
     index.append(docs.where("pages is not null"))
     index.append(docs)
     return index.table("chunks").select("chunk_id", "doc_sha256", "filename", "page", "char_start", "char_end")
@@ -752,7 +790,7 @@ def index_append_idempotent(spark, d):
 
 @query
 def index_stats(spark, d):
-    index = ChunkIndex.open(spark, _scratch(spark))
+    index = ChunkIndex.open(spark, scratch(spark))
     index.append(table(spark, d, "extracted_docs"))
     s = index.stats()
     return spark.createDataFrame([(s["n_documents"], s["n_chunks"])], "n_documents bigint, n_chunks bigint")
@@ -760,7 +798,7 @@ def index_stats(spark, d):
 
 @query
 def search_persisted(spark, d):
-    index = ChunkIndex.open(spark, _scratch(spark))
+    index = ChunkIndex.open(spark, scratch(spark))
     index.append(table(spark, d, "extracted_docs"), dense.HashingEncoder())
     q = questions(spark, d).select("query_id", "question")
     return index.search(q, 5, dense.HashingEncoder()).select("query_id", "chunk_id", "bm25_rank", "dense_place", F.round("rrf_score", 9).alias("rrf_score"), "place", "slot")
@@ -768,7 +806,7 @@ def search_persisted(spark, d):
 
 @query
 def search_persisted_lexical(spark, d):
-    index = ChunkIndex.open(spark, _scratch(spark))
+    index = ChunkIndex.open(spark, scratch(spark))
     index.append(table(spark, d, "extracted_docs"))
     r = index.search(questions(spark, d).select("query_id", "question"), 5)
     return r.select("query_id", "chunk_id", "bm25_rank", F.round("rrf_score", 9).alias("rrf_score"), "slot", "filename", "page")
@@ -777,7 +815,7 @@ def search_persisted_lexical(spark, d):
 @query
 def stream_ingest_dedup(spark, d):
     """Documents as a stream, each content once."""
-    out = _scratch(spark)
+    out = scratch(spark)
     schema = table(spark, d, "documents").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")  # a pattern, since a stream reads no single file
     one = ingest.distinct_contents(s).select("sha256")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ DUMP_HEADER = r"\[(\d+)\] source=(\S+) type=(\S+) page=(\d+) len=(\d+) tokens=(\
 STAMP = "# corpus_fingerprint:"
 PACKET_HEADER = r"### (Q\d+) — (\S+)"
 PACKET_BOX = r"\[( |x|X)\]\s+(CORRECT|UNGROUNDED|WRONG|LABEL ISSUE)"
+PACKET_VERDICT = r"\*\*Layer A verdict:\*\* (\S+)"
 RULE = "-" * 78
 
 QUESTION = t.StructType([
@@ -172,25 +172,22 @@ def append_jsonl(df: DataFrame, done: DataFrame | None, path: str, key: str = "i
     rest.write.mode("append").json(path)
 
 
-def parse_packet(text: str) -> list[dict]:
-    """Blocks of a review packet; fatal if one lacks its verdict line, or does not have four boxes with exactly one ticked."""
-    heads = list(re.finditer(rf"^{PACKET_HEADER}\s*$", text, re.M))
-    if not heads:
-        raise ValueError("no question blocks")
-    out = []
-    for m, after in zip(heads, [*heads[1:], None]):
-        block = text[m.end() : after.start() if after else len(text)]
-        a, boxes = re.search(r"\*\*Layer A verdict:\*\* (\S+)", block), re.findall(PACKET_BOX, block)
-        ticked = [v for x, v in boxes if x != " "]
-        if not a or len(boxes) != 4 or len(ticked) != 1:
-            raise ValueError(f"{m[1]}: malformed block ({len(boxes)} boxes, {len(ticked)} ticked)")
-        out.append({"id": m[1], "stratum": m[2], "a_verdict": a[1], "human_verdict": ticked[0]})
-    return out
+def parse_packets(whole: DataFrame, text: str = "value") -> DataFrame:
+    """``id, stratum, a_verdict, human_verdict, n_boxes, n_ticked`` of the blocks of whole review packets; text before the first block is none."""
+    block = whole.select(F.explode(F.split(text, rf"(?m)^(?={PACKET_HEADER}\s*$)")).alias("r")).where(F.col("r").rlike(rf"^{PACKET_HEADER}\s*\n"))
+    boxes = F.arrays_zip(F.regexp_extract_all("r", F.lit(PACKET_BOX), F.lit(1)).alias("mark"), F.regexp_extract_all("r", F.lit(PACKET_BOX), F.lit(2)).alias("name"))
+    ticked = F.filter(boxes, lambda b: b["mark"] != " ")
+    return block.select(F.regexp_extract("r", PACKET_HEADER, 1).alias("id"), F.regexp_extract("r", PACKET_HEADER, 2).alias("stratum"), F.regexp_extract("r", PACKET_VERDICT, 1).alias("a_verdict"),
+                        F.get(ticked, F.lit(0))["name"].alias("human_verdict"), F.size(boxes).alias("n_boxes"), F.size(ticked).alias("n_ticked"))
 
 
 def read_packet(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).first()
-    return spark.createDataFrame(parse_packet(whole[0] if whole else ""), "id string, stratum string, a_verdict string, human_verdict string")
+    """People's verdicts; fatal if there is no block, or one lacks its verdict line or does not have four boxes with exactly one ticked."""
+    found = parse_packets(spark.read.text(path, wholetext=True))
+    bad = found.where("a_verdict = '' or n_boxes <> 4 or n_ticked <> 1").take(3)
+    if bad or not found.take(1):
+        raise ValueError(f"malformed packet: {bad or 'no question blocks'}")
+    return found.select("id", "stratum", "a_verdict", "human_verdict")
 
 
 def migration_map(old: DataFrame, new: DataFrame) -> DataFrame:

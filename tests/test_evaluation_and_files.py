@@ -127,11 +127,16 @@ def test_questions_gold_map_and_jsonl(spark, tmp_path):
 PACKET = "### Q01 — prose\n**Layer A verdict:** PASS\n[x] CORRECT\n[ ] UNGROUNDED\n[ ] WRONG\n[ ] LABEL ISSUE\n"
 
 
-def test_packets(spark):
-    assert files.parse_packet(PACKET) == [{"id": "Q01", "stratum": "prose", "a_verdict": "PASS", "human_verdict": "CORRECT"}]
-    for bad in ("", PACKET.replace("[x]", "[ ]"), PACKET.replace("[ ] WRONG", "[x] WRONG"), PACKET.replace("[ ] WRONG\n", "")):
+def test_packets(spark, tmp_path):
+    def read(text):
+        (tmp_path / "packet.md").write_text(text)
+        return [tuple(r) for r in files.read_packet(spark, str(tmp_path / "packet.md")).collect()]
+
+    second = PACKET.replace("Q01 — prose", "Q02 — near_miss").replace("[x]", "[ ]").replace("[ ] WRONG", "[X] WRONG")
+    assert read("# Review\n" + PACKET + "\n" + second) == [("Q01", "prose", "PASS", "CORRECT"), ("Q02", "near_miss", "PASS", "WRONG")]
+    for bad in ("", PACKET.replace("[x]", "[ ]"), PACKET.replace("[ ] WRONG", "[x] WRONG"), PACKET.replace("[ ] WRONG\n", ""), PACKET.replace("**Layer A verdict:** PASS\n", "")):
         with pytest.raises(ValueError):
-            files.parse_packet(bad)
+            read(bad)
 
 
 DOC = "sha256 string, filename string, pages int, chunks array<struct<page:int,char_start:bigint,char_end:bigint,text:string,n_tokens:int>>"
@@ -214,14 +219,9 @@ def test_stream_appends_each_document_once(spark, tmp_path):
     assert ChunkIndex.open(spark, root).stats()["n_documents"] == 3 and sum(seen) == 2
 
 
-def test_models(spark):
-    assert models.EchoClient().complete("", "[1] first\n\n[2] second") == "first"
-    with pytest.raises(models.ModelMissing):
-        models.HttpClient("http://127.0.0.1:9", "m", timeout=1).complete("", "")
-    s = models.MemorySampler(0.05)
-    s.start()
-    assert s.stop() > 0
-
+def test_peak_memory(spark):
+    assert models.peak_memory_mb() > 1 and models.peak_memory_mb(2**30) is None
+    assert "driver" in models.executor_peaks(spark)
 
 def test_encoder_prefixes():
     assert dense.prefix_for("intfloat/e5-small-v2") == ("query: ", "passage: ") and dense.prefix_for("other") == ("", "")
@@ -233,3 +233,59 @@ def test_reports(spark, tmp_path):
     p = str(tmp_path / "r.md")
     write_report(p, "Run", {"Counts": spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string"), "Note": "text"})
     assert open(p).read() == "# Run\n\n## Counts\n\n| n | s |\n|---|---|\n| 1 | a/b |\n| 2 |  |\n\n## Note\n\ntext\n"
+
+
+class Counting:
+    def counted(self, system, user):
+        return f"{len(user)} letters", 12, 3_000_000_000
+
+
+def test_counters_of_completions(spark):
+    d = spark.createDataFrame([(1, "s", "abc")], "k int, system string, user string")
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in models.complete_all(d, Counting, "k").collect()] == [(1, "3 letters", 12, 3_000_000_000)]
+    r = models.complete_all(d, models.EchoClient, "k").first()
+    assert r.reply == "NOT_IN_DOCUMENTS" and r.n_tokens is None
+
+
+def test_probes_that_no_chunk_answers(spark):
+    asked = spark.createDataFrame([("Is there a yard in Nowhere?", "no yard named", ["Nowhere"]), ("When does the shop open?", "", ["shop", "open"]), ("Empty?", "", [])], "question string, why_absent string, telling array<string>")
+    chunks = spark.createDataFrame([(1, "The shop does open at nine."), (2, None)], "chunk_pos int, text string")
+    r = labels.abstention_probes(asked, chunks, "by hand").collect()
+    assert [(x.id, x.question, x.gold_chunks, x.stratum) for x in r] == [("U01", "Is there a yard in Nowhere?", [], "unanswerable")]
+
+
+def test_lost_rows_and_mixed_appends(spark, tmp_path):
+    import shutil
+
+    root, enc = str(tmp_path / "ix"), dense.HashingEncoder()
+    q = spark.createDataFrame([("q", "who ships late")], "query_id string, question string")
+    ix = ChunkIndex.open(spark, root)
+    assert ix.search(q, 2, enc).count() == 0 and ix.search(q, 2).count() == 0 and set(ix.timings(q)) == {"total"}
+    ix.append(docs(spark, "aaaa"), enc)
+    with pytest.raises(GateError):
+        ix.append(docs(spark, "bbbb"))
+    ix.append(docs(spark, "bbbb", "cccc"), enc)
+    want = sorted(map(tuple, ix.search(q, 3, enc).select("chunk_id", "place", "slot", "rrf_score").collect()))
+    for t in ("postings", "terms", "documents"):
+        shutil.rmtree(f"{root}/{t}/batch={ix.manifest.batches[0]}")
+    ix = ChunkIndex.open(spark, root)
+    assert sorted(map(tuple, ix.search(q, 3, enc).select("chunk_id", "place", "slot", "rrf_score").collect())) == want
+    ix.compact()
+    assert len(ix.vacuum()) == 10 and len(ChunkIndex.open(spark, root).manifest.batches) == 1
+    ix = ChunkIndex.open(spark, root)
+    assert sorted(map(tuple, ix.search(q, 3, enc).select("chunk_id", "place", "slot", "rrf_score").collect())) == want and set(ix.timings(q, 3, enc)) == {"bm25", "dense", "total"}
+    (tmp_path / "ix" / "manifest-000000000009.json").write_text("{")  # a writer that was stopped
+    assert ChunkIndex.open(spark, root).manifest.version == 3
+    shutil.rmtree(f"{root}/embeddings/batch={ix.manifest.batches[0]}")
+    with pytest.raises(GateError):
+        ChunkIndex.open(spark, root)
+    plain = ChunkIndex.open(spark, str(tmp_path / "plain"))
+    plain.append(docs(spark, "aaaa"))
+    with pytest.raises(GateError):
+        plain.append(docs(spark, "bbbb"), enc)
+
+
+def test_models():
+    assert models.EchoClient().complete("", "[1] first\n\n[2] second") == "first"
+    with pytest.raises(models.ModelMissing):
+        models.HttpClient("http://127.0.0.1:9", "m", timeout=1).complete("", "")
