@@ -100,16 +100,15 @@ def mix(documents: DataFrame, targets: DataFrame, doc: str = "doc_id", source: s
 
     Documents with null id, null source, null or blank text, or a source without target are in no
     mixture.  A document is used at most its source's ``max_repeats`` times.  Input columns
-    named like the new ones are replaced.  The rates, one row per target and at most ``MAX_SOURCES``, are broadcast.
+    named like the new ones are replaced.  The rates, one row per target, are broadcast if there are at most ``MAX_SOURCES`` of them, else joined.
     """
-    if (n := targets.limit(MAX_SOURCES + 1).count()) > MAX_SOURCES:
-        raise ValueError(f"more than {n - 1} targets")
+    bounded = F.broadcast if targets.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else lambda df: df
     rates = source_rates(documents, targets, doc, source, text, seed, total_tokens, counter).select(F.col("source").alias("mix_source"), "whole", "threshold")
     keep = [c for c in documents.columns if c not in ("mix_source", "copy_no")]
     docs = usable(documents, doc, source, text).select(*keep).withColumn("mix_source", source_key(F.col(source)))
     rates = rates.select("mix_source", F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
     copies = F.col("__whole") + (document_hash(F.col(doc), seed) < F.col("__threshold")).cast("int")
-    return (docs.join(F.broadcast(rates), "mix_source").withColumn("__n", copies).where("__n > 0")
+    return (docs.join(bounded(rates), "mix_source").withColumn("__n", copies).where("__n > 0")
             .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__whole", "__threshold", "__n").select(*keep, "mix_source", "copy_no"))
 
 

@@ -142,6 +142,18 @@ def test_mixing_reaches_the_shares(spark):
     capped = {r.source: r for r in M.source_rates(d, t, counter=word_count(), total_tokens=10.0**9).collect()}
     assert capped["big"].rate == 1.0 and capped["small_one"].rate == 2.0
     assert M.mix(d.limit(0), t, counter=word_count()).count() == 0
+    M_, M.MAX_SOURCES = M.MAX_SOURCES, 2  # more targets than are broadcast
+    assert sorted(map(tuple, M.mix(d, t, counter=word_count()).select("doc_id", "copy_no").collect())) == sorted(map(tuple, again.select("doc_id", "copy_no").collect()))
+    M.MAX_SOURCES = M_
+
+
+def test_shares_of_the_tables(spark):
+    """Every source of the test tables reaches its target share as near as one hash range of it."""
+    from docweft.llm.queries import QUERIES
+
+    r = QUERIES["p7_shares"](spark, "/root/testdata/sf0.01").collect()
+    assert len(r) == 12 and abs(sum(x.actual_share for x in r) - 1) < 1e-4 and all(x.rate <= x.max_repeats for x in r)
+    assert all(abs(x.actual_share - x.target_share) < 0.01 for x in r), [(x.source, x.actual_share, x.target_share) for x in r]
 
 
 def test_public_tokenizer_counts(spark):
