@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.operators import overlap
 
 # How rare and how long proof has to be.
 MIN_SPAN_WORDS = 4
@@ -80,10 +81,8 @@ def answer_candidates(questions: DataFrame, chunks: DataFrame, n: int = 6, weak:
     else:
         qt, ct, stop = T.words(F.col(answer)), T.words(F.col(text)), T.CANDIDATE_STOP_WORDS
     want = questions.select(key, F.explode(F.array_except(F.array_distinct(qt), F.array(*map(F.lit, stop)))).alias("tok")).where("tok <> ''")
-    have = chunks.select(doc, F.explode(F.array_distinct(ct)).alias("tok"))
-    w = W.partitionBy(key).orderBy(F.col("overlap").desc(), F.col(doc).desc())
-    per = want.join(have, "tok").groupBy(key, doc).agg(F.count(F.lit(1)).alias("overlap"))
-    return per.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    have = chunks.where(F.col(text).isNotNull()).select(doc, text, F.array_distinct(ct).alias("__w"))
+    return overlap.most_shared(want, have, n, key, doc, text, "__w")
 
 
 def label_review(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", gold: str = "gold_chunks", span: str = "matched_span", doc: str = "chunk_pos", text: str = "text") -> DataFrame:
