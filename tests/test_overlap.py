@@ -37,3 +37,9 @@ def test_best_overlaps_equal_all_pairs(spark, block):
     got = overlap.most_shared(spark.createDataFrame([(k, x) for k, v in want.items() for x in v], "id string, tok string"), d, 4, "id", "chunk_pos", "text", "w", doc_block=block)
     best = {k: sorted(((-len(v & set(t.split())), -i) for i, t in docs if v & set(t.split())))[:4] for k, v in want.items()}
     assert sorted((r.id, r.place, -r.overlap, -r.chunk_pos) for r in got.collect()) == sorted((k, p, *x) for k, v in best.items() for p, x in enumerate(v, 1))
+
+
+def test_answer_candidates_count_a_word_of_a_question_once(spark):
+    d, got = ranked(spark, False)
+    assert got == [("a", 1, 3, 3), ("a", 2, 6, 2), ("b", 1, 4, 3)]
+    assert one_block_of_pairs(d)
