@@ -97,14 +97,15 @@ def label_review(questions: DataFrame, chunks: DataFrame, key: str = "id", answe
     seen = claimed.join(g, key).join(texts, doc).groupBy(key).agg(F.max(F.col("__t").contains(F.col("__s"))).alias("ok"))
     has_gold = g.select(key).distinct()
     absent = claimed.join(has_gold, key, "left_semi").join(seen, key, "left").where(~F.coalesce("ok", F.lit(False))).select(key, F.lit("span_absent").alias("why"), F.lit(None).cast("long").alias("best_other"), F.lit(None).cast("long").alias("n_other"))
-    toks = chunks.where(F.col(text).isNotNull()).select(doc, F.explode(F.array_distinct(T.words(F.col(text)))).alias("tok"))
+    have = chunks.where(F.col(text).isNotNull()).select(doc, text, F.array_distinct(T.words(F.col(text))).alias("__w"))
     n = chunks.agg(F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) * F.lit(REVIEW_DF_SHARE))).alias("most"))
-    common = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df > most").select("tok")
+    common = have.select(F.explode("__w").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df > most").select("tok")
     free = questions.where((F.coalesce(F.length(span), F.lit(0)) == 0)).join(has_gold, key, "left_semi")
     want = free.select(key, F.explode(F.array_distinct(T.words(F.col(answer)))).alias("tok")).where(F.length("tok") >= 4).join(common, "tok", "left_anti")
-    hit = want.join(toks, "tok").groupBy(key, doc).agg(F.count(F.lit(1)).alias("n")).join(g.withColumn("__g", F.lit(1)), [key, doc], "left")
-    best = hit.groupBy(key).agg(F.max(F.when(F.col("__g").isNotNull(), F.col("n"))).alias("n_gold"), F.max(F.when(F.col("__g").isNull(), F.struct(F.col("n"), F.col(doc).alias("d")))).alias("o"))
-    other = best.where(F.col("n_gold").isNull() & (F.col("o.n") >= 2)).select(key, F.lit("other_chunk").alias("why"), F.col("o.d").cast("long").alias("best_other"), F.col("o.n").cast("long").alias("n_other"))
+    # whose gold chunks have a word is settled by those chunks alone; of the rest, any best chunk is another
+    own = g.join(want.groupBy(key).agg(F.collect_set("tok").alias("__a")), key).join(have, doc).where(F.arrays_overlap("__a", "__w")).select(key).distinct()
+    best = overlap.most_shared(want.join(own, key, "left_anti"), have, 1, key, doc, text, "__w")
+    other = best.where("overlap >= 2").select(key, F.lit("other_chunk").alias("why"), F.col(doc).cast("long").alias("best_other"), F.col("overlap").alias("n_other"))
     return absent.unionByName(other)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweft.durable import stored
 from docweft.operators import blocks
 from docweft.session import ships
 
@@ -41,7 +42,7 @@ def most_shared(want: DataFrame, docs: DataFrame, n: int, key: str, doc: str, te
     """``key, doc, overlap, place``: for each key of ``want`` (``key, tok``) the ``n`` documents of ``docs`` (``doc, text, words``) that share most of
     its distinct words, ties to the larger id.  Documents that share none are not ranked.  Words, and sets of them, are told apart by 64-bit hashes.
     """
-    sets = want.groupBy(key).agg(F.array_sort(F.collect_set(F.xxhash64("tok"))).alias("__t")).withColumn("__s", F.xxhash64("__t"))
+    sets = stored(want.groupBy(key).agg(F.array_sort(F.collect_set(F.xxhash64("tok"))).alias("__t")).withColumn("__s", F.xxhash64("__t")))
     once = sets.select("__s", "__t").dropDuplicates(["__s"])
     known = docs.select(doc, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
     kind = docs.schema[doc].dataType.simpleString()

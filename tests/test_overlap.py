@@ -43,3 +43,10 @@ def test_answer_candidates_count_a_word_of_a_question_once(spark):
     d, got = ranked(spark, False)
     assert got == [("a", 1, 3, 3), ("a", 2, 6, 2), ("b", 1, 4, 3)]
     assert one_block_of_pairs(d)
+
+
+def test_label_review_ranks_other_chunks_by_blocks(spark):
+    q = spark.createDataFrame([("a", "brass lamps", [2], None), ("a", "brass lamps cost", [2], None), ("b", "wool hats", [4], None), ("c", "iron hooks", [9], None)], "id string, answer string, gold_chunks array<bigint>, matched_span string")
+    d = labels.label_review(q, spark.createDataFrame([(1, "Brass lamps"), (2, None), *CHUNKS[3:], (7, "lots of wool hats")], "chunk_pos bigint, text string"))
+    assert [(r.id, r.why, r.best_other, r.n_other) for r in d.collect()] == [("a", "other_chunk", 3, 3)]
+    assert one_block_of_pairs(d)
