@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,18 +68,25 @@ def _body(rows: Column, span: Column) -> Column:
     return clean(F.when(n > 0, F.slice(rows, span["stop"] + 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<array<string>>")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: named in a lambda it would be made again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def serialise(rows: Column) -> Column:
     """``row label | header: value | header: value`` per data row, joined by line breaks; empty without a header."""
-    span = header_span(rows)
-    heads = F.transform(merge_headers(rows, span), lambda h, i: F.when(F.length(h) > 0, h).when(i == 0, F.lit(ROW_LABEL)).otherwise(F.concat(F.lit("col"), i.cast("string"))))
 
-    def line(r: Column) -> Column:
+    def line(r: Column, heads: Column) -> Column:
         label = F.coalesce(F.nullif(F.coalesce(F.get(r, F.lit(0)), F.lit("")), F.lit("")), F.lit(ROW_LABEL))
         pairs = F.filter(F.transform(heads, lambda h, i: F.when((i > 0) & (F.length(F.coalesce(F.get(r, i), F.lit(""))) > 0), F.concat(h, F.lit(": "), F.get(r, i)))), lambda x: x.isNotNull())
-        return F.when(F.size(pairs) > 0, F.concat(label, F.lit(" | "), F.array_join(pairs, " | ")))
+        return _once(pairs, lambda p: F.when(F.size(p) > 0, F.concat(label, F.lit(" | "), F.array_join(p, " | "))))
+
+    def text(rows: Column, span: Column) -> Column:
+        heads = F.transform(merge_headers(rows, span), lambda h, i: F.when(F.length(h) > 0, h).when(i == 0, F.lit(ROW_LABEL)).otherwise(F.concat(F.lit("col"), i.cast("string"))))
+        lines = _once(heads, lambda h: F.filter(F.transform(_body(rows, span), lambda r: line(r, h)), lambda x: x.isNotNull()))
+        return F.when(span.isNull(), F.lit("")).otherwise(F.array_join(lines, "\n"))
 
-    lines = F.filter(F.transform(_body(rows, span), line), lambda x: x.isNotNull())
-    return F.when(span.isNull(), F.lit("")).otherwise(F.array_join(lines, "\n"))
+    return _once(rows, lambda t: _once(header_span(t), lambda s: text(t, s)))
 
 
 def render_pipes(rows: Column) -> Column:
