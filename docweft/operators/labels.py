@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.operators import overlap
+from docweft.operators import blocks, overlap, runs
+from docweft.session import ships
 
 # How rare and how long proof has to be.
 MIN_SPAN_WORDS = 4
 MAX_HITS = 3
 MAX_DF_SHARE = 0.15
 REVIEW_DF_SHARE = 0.30
+#: Chunks, and characters of chunks, in a block where runs are looked for.
+RUN_BLOCK, RUN_CHARS = 1 << 13, 1 << 23
 
 
 def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", doc: str = "chunk_pos", text: str = "text", least: int = MIN_SPAN_WORDS, max_hits: int = MAX_HITS) -> DataFrame:
@@ -21,30 +26,30 @@ def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", an
     in at least one and at most ``max_hits`` chunks.
 
     The match is of substrings of normalised texts, so a run's edge words may be parts of longer ones, but its inner words are
-    whole wherever it stands.  A run is looked for only in chunks that have its rarest inner pair of words between the same
-    two letters; runs with an inner pair that no chunk has are dropped at once.  Null answers and texts match nothing.
+    whole wherever it stands.  A longer run from the same start stands in no more chunks, so of each start only the longest run that
+    any chunk has is counted (``runs``), by blocks of chunks.  Null answers and texts match nothing.
     """
     if least < 4:
         raise ValueError("runs need two inner words")
-    near = lambda w, i: F.concat_ws(" ", F.right(F.get(w, i - 1), F.lit(1)), F.get(w, i), F.get(w, i + 1), F.left(F.get(w, i + 2), F.lit(1)))
-    pairs_of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: near(w, i))
-    q = questions.where(F.col(answer).isNotNull()).select(key, F.split(T.norm_anchor(F.col(answer)), " ").alias("w")).where(F.size("w") >= least)
+    q = questions.where(F.col(answer).isNotNull()).select(key, T.norm_anchor(F.col(answer)).alias("__a")).where(F.size(F.split("__a", " ")) >= least)
+    once = q.select("__a").distinct()
     texts = chunks.where(F.col(text).isNotNull()).select(doc, T.norm_anchor(F.col(text)).alias("__t"))
-    pairs = texts.withColumn("__w", F.split("__t", " ")).where(F.size("__w") > 3).select(doc, F.explode(F.array_distinct(pairs_of(F.col("__w")))).alias("k"))
-    df = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
-    counted = q.select(key, F.posexplode(pairs_of(F.col("w"))).alias("i", "k")).join(df, "k", "left")
-    known = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("df", F.lit(0)).alias("df"), "k"))).alias("p"))
-    runs = q.join(known, key).select(key, "w", "p", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("start"))
-    runs = runs.select(key, "w", "p", "start", F.explode(F.sequence(F.lit(least), F.size("w") - F.col("start"))).alias("size"))
-    rarest = F.array_min(F.transform(F.slice("p", F.col("start") + 1, F.col("size") - 3), lambda x: F.struct(x["df"].alias("df"), x["k"].alias("k"))))
-    spans = runs.withColumn("r", rarest).where("r.df > 0").select(key, "start", "size", F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ").alias("span"), F.col("r.k").alias("k"))
-    # answers share many runs: each is looked for once
-    hits = spans.select("span", "k").distinct().join(pairs, "k").join(texts, doc).where(F.col("__t").contains(F.col("span")))
-    few = hits.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_hits).select("span")
-    found = hits.join(few, "span", "left_semi").groupBy("span").agg(F.array_sort(F.collect_set(doc)).alias("chunks"))
-    per = spans.join(found, "span")
-    best = F.min_by(F.struct("span", "chunks"), F.struct(-F.col("size"), F.col("start")))
-    return per.groupBy(key).agg(best.alias("b")).select(key, "b.span", "b.chunks")
+    kind = chunks.schema[doc].dataType.simpleString()
+
+    def run(d: pa.Table, a: pa.Table) -> pa.Table:
+        which, start, size, n, found = runs.longest_runs(d.column("__t").to_pylist(), a.column("__a").to_pylist(), least, max_hits)
+        few = np.where(n <= max_hits, n, 0)
+        docs = d.column(doc).combine_chunks().take(pa.array(found[np.arange(max_hits) < few[:, None]]))
+        found_in = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(few)], pa.int32()), docs)
+        return pa.table([a.column("__a").take(pa.array(which)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(n), found_in], names=["__a", "start", "size", "n", "docs"])
+
+    pairs = overlap.block_sizes(texts, "__t", once, RUN_BLOCK, RUN_CHARS)
+    here = blocks.paired(texts, once, doc, "__a", pairs, run, f"__a string, start int, size int, n bigint, docs array<{kind}>").repartition("__a")
+    lengths = here.groupBy("__a", "start", "size").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"))
+    longest = lengths.groupBy("__a", "start").agg(F.max_by(F.struct("size", "n", "docs"), "size").alias("r")).where(F.col("r.n") <= max_hits)
+    best = longest.groupBy("__a").agg(F.min_by(F.struct("start", "r.size", "r.docs"), F.struct(-F.col("r.size"), F.col("start"))).alias("b"))
+    span = F.array_join(F.slice(F.split("__a", " "), F.col("b.start") + 1, F.col("b.size")), " ")
+    return q.join(best, "__a").select(key, span.alias("span"), F.array_sort("b.docs").alias("chunks"))
 
 
 def anchor_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", doc: str = "chunk_pos", text: str = "text", max_hits: int = MAX_HITS) -> DataFrame:
@@ -130,3 +135,6 @@ def abstention_probes(asked: DataFrame, chunks: DataFrame, origin: str, question
 def pending(work: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What a resumed run still has to do."""
     return work.join(done.select(key).distinct(), key, "left_anti")
+
+
+ships(__name__)
