@@ -17,8 +17,8 @@ MIN_SPAN_WORDS = 4
 MAX_HITS = 3
 MAX_DF_SHARE = 0.15
 REVIEW_DF_SHARE = 0.30
-#: Chunks, and characters of chunks, in a block where runs are looked for.
-RUN_BLOCK, RUN_CHARS = 1 << 13, 1 << 23
+#: Chunks, characters of chunks, and answers in a block where runs are looked for.
+RUN_BLOCK, RUN_CHARS, ANSWER_BLOCK = 1 << 12, 1 << 22, 1 << 15
 
 
 def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", answer: str = "answer", doc: str = "chunk_pos", text: str = "text", least: int = MIN_SPAN_WORDS, max_hits: int = MAX_HITS) -> DataFrame:
@@ -43,7 +43,7 @@ def verbatim_labels(questions: DataFrame, chunks: DataFrame, key: str = "id", an
         found_in = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(few)], pa.int32()), docs)
         return pa.table([a.column("__a").take(pa.array(which)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(n), found_in], names=["__a", "start", "size", "n", "docs"])
 
-    pairs = overlap.block_sizes(texts, "__t", once, RUN_BLOCK, RUN_CHARS)
+    pairs = overlap.block_sizes(texts, "__t", once, RUN_BLOCK, RUN_CHARS, ANSWER_BLOCK)
     here = blocks.paired(texts, once, doc, "__a", pairs, run, f"__a string, start int, size int, n bigint, docs array<{kind}>").repartition("__a")
     lengths = here.groupBy("__a", "start", "size").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"))
     longest = lengths.groupBy("__a", "start").agg(F.max_by(F.struct("size", "n", "docs"), "size").alias("r")).where(F.col("r.n") <= max_hits)
