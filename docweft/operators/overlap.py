@@ -1,7 +1,7 @@
 """Which documents share most distinct words with each of many word sets, block by block (see ``blocks``).
 
 A task holds one bounded block of documents and one of sets.  Frequent words are rows of bytes there, rare ones lists of
-places, so a set costs a few additions and no pair of a set and a document is ever a row.
+places, so a set costs a few additions at the places of its rare words and no pair of a set and a document is ever a row.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from docweft.durable import stored
 from docweft.operators import blocks
 from docweft.session import ships
 
-#: Documents, and characters of documents, in a block.
-DOC_BLOCK, CHAR_BLOCK = 1 << 13, 1 << 24
-#: A word that more than one in so many documents of a block have is kept as a row of bytes.
+#: Documents, and characters of documents, in a block; word sets in a block.
+DOC_BLOCK, CHAR_BLOCK, SET_BLOCK = 1 << 15, 1 << 25, 1 << 17
+#: A word that more than one in so many documents of a block have is frequent and kept as a row of bytes.
 DENSE = 32
 
 
@@ -31,11 +31,62 @@ def block_sizes(docs: DataFrame, text: str, queries: DataFrame, doc_block: int,
 
 def _most(total: np.ndarray, n: int) -> np.ndarray:
     """Places of the ``n`` largest numbers above 0, equal ones from the last place on."""
-    with_at_least = np.cumsum(np.bincount(total)[::-1])[::-1]
-    low = max(1, int(np.searchsorted(-with_at_least, -n, side="right")) - 1)
+    low = int(total.max())
+    if low == 0:
+        return np.zeros(0, np.int64)
+    while low > 1 and np.count_nonzero(total >= low) < n:
+        low -= 1
     above = np.flatnonzero(total > low)[::-1]
     above = above[np.argsort(-total[above].astype(np.int64), kind="stable")]
-    return np.concatenate([above, np.flatnonzero(total == low)[::-1][: n - len(above)]])[:n]
+    return np.concatenate([above, np.flatnonzero(total == low)[::-1][: max(0, n - len(above))]])[:n]
+
+
+def _lists(has: tuple[np.ndarray, np.ndarray], n_docs: int, asked: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """Arrays ``set, document, shared``: of each set the ``n`` documents that share most words, equal ones from the last on.  ``has`` are words and the
+    documents that have them, ``asked`` words and the sets that ask for them, set by set.
+
+    Sets with the same frequent words share one count of those.
+    """
+    (word, at), (want, owner) = has, asked
+    terms, number = np.unique(want, return_inverse=True)
+    t = np.minimum(np.searchsorted(terms, word), len(terms) - 1)
+    mine = terms[t] == word
+    pairs = np.sort(t[mine] * n_docs + at[mine])
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # a document that comes in several rows has a word once
+    edge = np.searchsorted(pairs, np.arange(len(terms) + 1) * n_docs)
+    at, df = pairs % n_docs, np.diff(edge)
+    lots = np.flatnonzero(df * DENSE > n_docs)
+    rows = np.zeros((len(lots), n_docs), np.uint8)
+    for i, k in enumerate(lots.tolist()):
+        rows[i, at[edge[k]:edge[k + 1]]] = 1
+    slot = np.full(len(terms), -1)
+    slot[lots] = np.arange(len(lots))
+    met = df[number] > 0
+    number, owner = number[met], owner[met]
+    cut = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)].tolist() if len(owner) else [0]
+    alike: dict[bytes, list[tuple[int, np.ndarray]]] = {}
+    for a, b in zip(cut, cut[1:]):
+        s = slot[number[a:b]]
+        alike.setdefault(np.sort(s[s >= 0]).tobytes(), []).append((a, number[a:b][s < 0]))
+    out = []
+    for frequent, sets in alike.items():
+        f = np.frombuffer(frequent, slot.dtype).tolist()
+        base = np.zeros(n_docs, np.uint8 if len(f) + max(len(rare) for _, rare in sets) < 256 else np.int32)
+        for i in f:
+            base += rows[i]
+        same = None  # the list of the sets that have no rare word
+        for a, rare in sets:
+            if len(rare):
+                total = base.copy()
+                for k in rare.tolist():
+                    total[at[edge[k]:edge[k + 1]]] += 1
+                best = _most(total, n)
+                shared = total[best]
+            else:
+                same = _most(base, n) if same is None else same
+                best, shared = same, base[same]
+            out.append((np.full(len(best), owner[a]), best, shared.astype(np.int64)))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 3
 
 
 def most_shared(want: DataFrame, docs: DataFrame, n: int, key: str, doc: str, text: str, words: str, doc_block: int = DOC_BLOCK) -> DataFrame:
@@ -48,43 +99,15 @@ def most_shared(want: DataFrame, docs: DataFrame, n: int, key: str, doc: str, te
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(d: pa.Table, q: pa.Table) -> pa.Table:
-        rows: list[tuple[np.ndarray, ...]] = []
-        ids = d.column(doc).slice(0, 0).combine_chunks()
+        ids, which, best, shared = d.column(doc).slice(0, 0).combine_chunks(), *[np.zeros(0, np.int64)] * 3
         if d.num_rows and q.num_rows:
             ids, at = blocks.ids_in_order(d.column(doc))
-            lists = d.column("__h").combine_chunks()
-            h, at = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(at, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            asked = q.column("__t").combine_chunks()
-            terms, number = np.unique(asked.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            ends = np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))
-            t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            mine = terms[t] == h
-            pairs = np.unique(t[mine] * len(ids) + at[mine])  # a document that comes in several rows has a word once
-            edge = np.searchsorted(pairs, np.arange(len(terms) + 1) * len(ids))
-            at = pairs % len(ids)
-            lots = {}
-            for k in np.flatnonzero(np.diff(edge) * DENSE > len(ids)).tolist():
-                lots[k] = np.zeros(len(ids), np.uint8)
-                lots[k][at[edge[k]:edge[k + 1]]] = 1
-            begin = 0
-            for i, end in enumerate(ends.tolist()):
-                total = np.zeros(len(ids), np.uint8 if end - begin < 256 else np.int32)
-                met = False
-                for k in number[begin:end].tolist():
-                    if k in lots:
-                        total += lots[k]
-                        met = True
-                    elif edge[k] < edge[k + 1]:
-                        total[at[edge[k]:edge[k + 1]]] += 1
-                        met = True
-                begin = end
-                if met:
-                    best = _most(total, n)
-                    rows.append((np.full(len(best), i), best, total[best].astype(np.int64)))
-        which, best, shared = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
+            each = lambda x, of: (x.flatten().to_numpy(zero_copy_only=False), np.repeat(of, pc.list_value_length(x).to_numpy(zero_copy_only=False)))
+            has, asked = each(d.column("__h").combine_chunks(), at), each(q.column("__t").combine_chunks(), np.arange(q.num_rows))
+            which, best, shared = _lists(has, len(ids), asked, n)
         return pa.table([q.column("__s").take(pa.array(which)), ids.take(pa.array(best)), pa.array(shared)], names=["__s", doc, "overlap"])
 
-    lists = blocks.paired(known, once, doc, "__s", block_sizes(docs, text, once, doc_block, CHAR_BLOCK), run, f"__s bigint, `{doc}` {kind}, overlap bigint")
+    lists = blocks.paired(known, once, doc, "__s", block_sizes(docs, text, once, doc_block, CHAR_BLOCK, SET_BLOCK), run, f"__s bigint, `{doc}` {kind}, overlap bigint")
     w = W.partitionBy("__s").orderBy(F.col("overlap").desc(), F.col(doc).desc())
     ranked = lists.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
     return sets.select(key, "__s").join(ranked, "__s").select(key, doc, "overlap", "place")
